@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import languages, mixing, pieces, replies, urls
+from . import languages, lines, mixing, ngrams, pieces, replies, urls
 from .common import table
 
 
@@ -18,6 +18,15 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs, gone_col="lines_gone")
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.join(table(spark, sf_dir, "documents"))
+
+
 def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return languages.spans(docs, languages.train(docs))
@@ -36,4 +45,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_reply_trees": replies.SQL, "op4_url_filters": urls.SQL, "op9_source_mix": mixing.SQL}
+    return {"op3_reply_trees": replies.SQL, "op4_url_filters": urls.SQL, "op5_line_dedup": lines.SQL, "op7_ngram_jaccard": ngrams.SQL, "op9_source_mix": mixing.SQL}
