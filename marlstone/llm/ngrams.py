@@ -150,10 +150,10 @@ def _bucket_pairs(batches, theta: float):
     """Per pair of documents of one bucket that are of fitting sizes, the number of short lists that hold both."""
     held = [[], [], [], []]
     for b in batches:
-        for row, lists in zip(zip(*(b.column(c) for c in (1, 2, 3, 4))), (held,) * len(b)):
-            for x, kind, out in zip(row, (np.uint64, np.int32, np.int32, np.uint32), lists):
-                out.append(np.frombuffer(x.as_buffer(), kind))
-        held[3][-len(b) :] = [(g.astype(np.uint64) | np.uint64(k << 32)) for g, k in zip(held[3][-len(b) :], b.column(0).to_pylist())]
+        for bucket, *row in zip(b.column(0).to_pylist(), *(b.column(c) for c in (1, 2, 3, 4))):
+            docs, sizes, lengths, grams = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.uint64, np.int32, np.int32, np.uint32)))
+            for out, x in zip(held, (docs, sizes, lengths, grams.astype(np.uint64) | np.uint64(bucket << 32))):
+                out.append(x)
     if not held[0]:
         return
     docs, sizes, lengths, grams = (np.concatenate(x) for x in held)
