@@ -32,6 +32,54 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SLOTS = 24
+
+
+def key_filter(keys: DataFrame, data: DataFrame, bits: int = SLOTS) -> DataFrame:
+    """The rows of data whose long column `th` may be among the `th` of keys, decided by a bitmap of 2**bits slots. Meant to go before
+    a join of large rows with few keys, so that few of them are shuffled; a bitmap that is full lets all rows pass."""
+    chunks = 16
+    per = (1 << bits) // chunks
+
+    def mark(batches):
+        held = np.zeros(1 << bits, bool)
+        for b in batches:
+            held[b.column(0).to_numpy() & ((1 << bits) - 1)] = True
+        yield pa.record_batch({"chunk": pa.array(range(chunks), pa.int32()), "map": pa.array([np.packbits(held[k * per : (k + 1) * per]).tobytes() for k in range(chunks)], pa.binary())})
+
+    def either(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+                held[k] = held.get(k, np.uint8(0)) | np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.record_batch({"chunk": pa.array(held, pa.int32()), "map": pa.array([x.tobytes() for x in held.values()], pa.binary())})
+
+    kind = "chunk int, map binary"
+    full = np.zeros(1 << bits, bool)
+    for r in keys.select("th").mapInArrow(mark, kind).repartition(chunks // 4, "chunk").mapInArrow(either, kind).collect():
+        full[r.chunk * per : (r.chunk + 1) * per] = np.unpackbits(np.frombuffer(r.map, np.uint8)).astype(bool)
+    shared = data.sparkSession.sparkContext.broadcast(np.packbits(full))
+
+    def keep(batches):
+        for b in batches:
+            at = b.column("th").to_numpy() & ((1 << bits) - 1)
+            yield b.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7))).astype(bool)))
+
+    return data.mapInArrow(keep, data.schema)
+
+
+def identified(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """kid (the id, or the least long for a null one) and th (a hash of the text and of whether the id is null), which name a row up to
+    repetitions and are never null; text; and what else is asked for."""
+    own = F.col(f"`{id_col}`").cast("long")
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.coalesce(own, F.lit(-(1 << 63))).alias("kid"), F.xxhash64(text, own.isNull()).alias("th"), text.alias("text"), *more)
+
+
+def as_id(kid):
+    return F.when(kid != -(1 << 63), kid)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

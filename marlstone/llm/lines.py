@@ -8,7 +8,7 @@ the shorter is a single line, which answers for the longer ones, and the earlies
 however many lines share it. The partner found is verified with the edit distance of the texts.
 
 A line can only have a partner if it shares its first or its last half with another line of fitting length, so lines that share neither
-with any other emit nothing. Equal lines are one line with the earliest of their places, which is where it is kept.
+with any other line emit nothing. Equal lines are one line with the earliest of their places, which is where it is kept.
 
 A line goes if an earlier line is within the bound (even if that one goes too). Lines are in the order (id, hash of the text, number). Defined cases:
 blank lines (only spaces) never go and count as no line. Lines of under `least_chars` characters go only as exact copies. A row whose lines
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_table, mix
+from .common import as_table, identified, key_filter, mix
 
 LEAST_CHARS = 16
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -72,46 +72,47 @@ def _emit(batches):
             if t is None or size and size + len(t) > 1 << 18:
                 line, kind, key = variant_keys(texts[begin:i])
                 rows = pa.array(line + begin)
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(kind), *(b.column(c).take(rows) for c in ("id", "th", "no"))], names=["key", "kind", "id", "th", "no"])
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(kind), *(b.column(c).take(rows) for c in ("kid", "th", "no"))], names=["key", "kind", "kid", "th", "no"])
                 begin, size = i, 0
             size += len(t or "")
 
 
-def _same(a: DataFrame, b: DataFrame, names: list[str]):
-    cond = None
-    for c in names:
-        one = a[c].eqNullSafe(b[c])
-        cond = one if cond is None else cond & one
-    return cond
-
-
-def near_earlier(firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Places (id, th, no) of distinct lines that have an earlier distinct line within one edit. firsts: id, th, no, h1, h2, n, halves."""
-    keyed = firsts.where("halves is not null").select("id", "th", "no", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    chosen = keyed.join(shared, "half", "left_semi").select("id", "th", "no").distinct()
-    per_doc = chosen.groupBy("id", "th").agg(F.collect_list("no").alias("nos"))
-    d = docs.select("id", "th", "text").dropDuplicates(["id", "th"])
-    texts = d.join(per_doc.withColumnsRenamed({"id": "id_", "th": "th_"}), F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")))
-    lines = texts.select("id", "th", "nos", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.array_contains("nos", F.col("no"))).select("id", "th", "no", "line")
-    lines = as_table(lines, "near-lines")
-    keys = lines.mapInArrow(_emit, "key long, kind tinyint, id long, th long, no int")
-    place = F.struct("id", "th", "no")
+def _lines(own: DataFrame) -> DataFrame:
+    """The lines that count, of rows that have kid, th and text."""
+    return own.where("text is not null").select("kid", "th", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.trim("line") != "")
+
+
+def near_earlier(lines: DataFrame, firsts: DataFrame, own: DataFrame, least_chars: int) -> DataFrame:
+    """Places (kid, th, no) of distinct lines that have an earlier distinct line within one edit."""
+    n = F.length("line")
+    halves = []
+    for shorter in (n, n - 1):  # a line may be the shorter of a pair, or as long, or the longer
+        half = F.floor(shorter / 2).cast("int")
+        halves += [F.xxhash64(F.lit(0), shorter, F.substring("line", 1, half)), F.xxhash64(F.lit(1), shorter, F.substring("line", n - half + 1, half))]
+    keyed = lines.where(n >= least_chars).select(F.xxhash64("line").alias("h1"), F.explode(F.array(*halves)).alias("half"))
+    shared = keyed.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
+    chosen = keyed.join(shared, "half", "left_semi").select("h1").distinct()
+    places = as_table(firsts.join(chosen, "h1", "left_semi").select("kid", "th", "no"), "near-places")
+    per_doc = places.groupBy(F.col("kid").alias("k"), F.col("th").alias("t")).agg(F.collect_set("no").alias("nos"))
+    texts = key_filter(places, own.select("kid", "th", "text")).join(per_doc, (F.col("kid") == F.col("k")) & (F.col("th") == F.col("t")))
+    found = texts.select("kid", "th", "nos", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.array_contains("nos", F.col("no")))
+    found = as_table(found.select("kid", "th", "no", "line").dropDuplicates(["kid", "th", "no"]), "near-lines")
+    keys = found.mapInArrow(_emit, "key long, kind tinyint, kid long, th long, no int")
     of_key = Window.partitionBy("key")
-    seen = keys.withColumn("place", place)
+    seen = keys.withColumn("place", F.struct("kid", "th", "no"))
     for name, kind in (("a", SUBSTITUTED), ("b", WHOLE), ("c", SHORTENED)):
         seen = seen.withColumn(name, F.min(F.when(F.col("kind") == kind, F.col("place"))).over(of_key))
     partner = F.when(F.col("kind") == SUBSTITUTED, F.col("a")).when(F.col("kind") == WHOLE, F.col("c")).otherwise(F.col("b"))
-    pairs = seen.withColumn("partner", partner).where("partner < place").select("id", "th", "no", F.col("partner.id").alias("pid"), F.col("partner.th").alias("pth"), F.col("partner.no").alias("pno")).distinct()
-    right = lines.select(F.col("id").alias("rid"), F.col("th").alias("rth"), F.col("no").alias("rno"), F.col("line").alias("partner_line"))
-    pairs = pairs.join(lines.withColumnsRenamed({"id": "lid", "th": "lth", "no": "lno"}), F.col("id").eqNullSafe(F.col("lid")) & (F.col("th") == F.col("lth")) & (F.col("no") == F.col("lno")))
-    pairs = pairs.join(right, F.col("pid").eqNullSafe(F.col("rid")) & (F.col("pth") == F.col("rth")) & (F.col("pno") == F.col("rno")))
-    return pairs.where(F.levenshtein("line", "partner_line") <= 1).select("id", "th", "no").distinct()
+    pairs = seen.withColumn("partner", partner).where("partner < place").select("kid", "th", "no", F.col("partner.kid").alias("pkid"), F.col("partner.th").alias("pth"), F.col("partner.no").alias("pno")).distinct()
+    other = found.select(F.col("kid").alias("pkid"), F.col("th").alias("pth"), F.col("no").alias("pno"), F.col("line").alias("partner_line"))
+    pairs = pairs.join(found, ["kid", "th", "no"]).join(other, ["pkid", "pth", "pno"])
+    return pairs.where(F.levenshtein("line", "partner_line") <= 1).select("kid", "th", "no").distinct()
 
 
-def _cut(batches):
+def _cut(batches, text_col: str):
     for b in batches:
-        texts, drops, copies = (b.column(c).to_pylist() for c in ("text", "drops", "copy"))
+        row = b.column("row")
+        texts, drops, copies = row.field(text_col).to_pylist(), b.column("drops").to_pylist(), b.column("copy").to_pylist()
         out, gone, stays = [], [], []
         for t, drop, copy in zip(texts, drops, copies):
             if t is None or (not drop and copy == 1):
@@ -125,31 +126,25 @@ def _cut(batches):
             gone.append(len(lines) - len(left))
             stays.append(len(left) == len(lines) or any(x.strip(" ") for x in left))
         keep = pa.array(stays)
-        yield pa.record_batch([b.column("row"), pa.array(out, pa.string()), pa.array(gone, pa.int32())], names=["row", "text", "gone"]).filter(keep)
+        yield pa.record_batch([row, pa.array(out, pa.string()), pa.array(gone, pa.int32())], names=["row", "text", "gone"]).filter(keep)
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", gone_col: str | None = None) -> DataFrame:
     """docs with the text cut down to the lines that stay; chars_col, if docs has it, is counted anew; gone_col counts the lines that went."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    lines = own.where("text is not null").select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.trim("line") != "")
-    n = F.length("line")
-    halves = []
-    for shorter in (n, n - 1):  # a line may be the shorter of a pair, or as long, or the longer
-        half = F.floor(shorter / 2).cast("int")
-        halves += [F.xxhash64(F.lit(0), shorter, F.substring("line", 1, half)), F.xxhash64(F.lit(1), shorter, F.substring("line", n - half + 1, half))]
-    lines = lines.select("id", "th", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.when(n >= least_chars, F.array(*halves)).alias("halves"))
-    lines = as_table(lines, "lines")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves"))
-    firsts = as_table(firsts.select("h1", "h2", "first.*", "c", "halves"), "firsts")
-    near = near_earlier(firsts, own).withColumnsRenamed({"id": "nid", "th": "nth", "no": "nno"}).withColumn("near", F.lit(True))
-    known = firsts.drop("halves").join(near, F.col("id").eqNullSafe(F.col("nid")) & (F.col("th") == F.col("nth")) & (F.col("no") == F.col("nno")), "left")
-    known = known.where("c > 1 or near").select("h1", "h2", F.struct("id", "th", "no").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    drops = lines.drop("halves").join(known, ["h1", "h2"]).where(F.col("near") | (F.struct("id", "th", "no") != F.col("first")))
-    drops = drops.groupBy(F.col("id").alias("did"), F.col("th").alias("dth")).agg(F.collect_list("no").alias("drops"))
-    copies = own.withColumn("copy", F.row_number().over(Window.partitionBy("id", "th").orderBy("id")))
-    cut = copies.join(drops, F.col("id").eqNullSafe(F.col("did")) & (F.col("th") == F.col("dth")), "left").select("row", "text", "drops", "copy")
-    row_type = own.schema["row"].dataType.simpleString()
-    out = cut.mapInArrow(_cut, f"row {row_type}, text string, gone int")
+    own = identified(docs, id_col, text_col)
+    hashed = as_table(_lines(own).select("kid", "th", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines")
+    firsts = hashed.groupBy("h1", "h2").agg(F.min(F.struct("kid", "th", "no")).alias("first"), F.count("*").alias("c"))
+    firsts = as_table(firsts.select("h1", "h2", "first.*", "c"), "firsts")
+    near = near_earlier(_lines(own), firsts, own, least_chars).withColumn("near", F.lit(True))
+    known = firsts.join(near, ["kid", "th", "no"], "left").where("c > 1 or near")
+    known = known.select("h1", "h2", F.struct("kid", "th", "no").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    drops = hashed.join(known, ["h1", "h2"]).where(F.col("near") | (F.struct("kid", "th", "no") != F.col("first")))
+    drops = drops.groupBy("kid", "th").agg(F.collect_list("no").alias("drops"))
+    rows = identified(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).drop("text")
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("kid", "th").orderBy("kid")))
+    cut = rows.join(drops, ["kid", "th"], "left").select("row", "drops", "copy")
+    row_type = rows.schema["row"].dataType.simpleString()
+    out = cut.mapInArrow(lambda batches: _cut(batches, text_col), f"row {row_type}, text string, gone int")
     columns = [F.col("text").alias(c) if c == text_col else (F.length("text").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(f"row.`{c}`")) for c in docs.columns]
     return out.select(*columns, *([F.col("gone").alias(gone_col)] if gone_col else []))
 
