@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import languages, lines, mixing, ngrams, pieces, replies, urls
+from . import languages, lines, mixing, multiindex, ngrams, pieces, replies, urls, vafile
 from .common import table
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.conversations(replies.threads(table(spark, sf_dir, "conversations")))
 
@@ -23,6 +27,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs, gone_col="lines_gone")
 
 
+def op6_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(table(spark, sf_dir, "embeddings")).drop("reads")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.join(table(spark, sf_dir, "documents"))
 
@@ -45,4 +53,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_reply_trees": replies.SQL, "op4_url_filters": urls.SQL, "op5_line_dedup": lines.SQL, "op7_ngram_jaccard": ngrams.SQL, "op9_source_mix": mixing.SQL}
+    return {"op3_reply_trees": replies.SQL, "op4_url_filters": urls.SQL, "op5_line_dedup": lines.SQL, "op6_va_file": vafile.SQL, "op7_ngram_jaccard": ngrams.SQL, "op9_source_mix": mixing.SQL}
