@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import languages, lines, mixing, multiindex, ngrams, pieces, replies, urls, vafile
+from . import languages, lines, mixing, multiindex, ngrams, pieces, replies, toxicity, urls, vafile
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).where("toxic")
+
+
 def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.conversations(replies.threads(table(spark, sf_dir, "conversations")))
 
