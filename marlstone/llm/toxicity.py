@@ -1,7 +1,7 @@
 """Toxicity by compression distance: windows of a text are compressed with a dictionary of ordinary text and with one that knows toxic text too.
 
-Training reads bounded samples of labelled rows (SAMPLE toxic and 4 * SAMPLE clean ones, those of least hashed id, and as many clean ones again for the
-thresholds). Two zstandard dictionaries are trained: one on windows of the clean texts; one on what toxic texts say and clean ones don't: runs of
+Training reads bounded samples of labelled rows (SAMPLE toxic ones, 4 * SAMPLE clean ones, those of least hashed id, and 2 * SAMPLE more clean ones for the
+threshold). Two zstandard dictionaries are trained: one on windows of the clean texts; one on what toxic texts say and clean ones don't: runs of
 words that stand in at least LEAST_CONTEXTS contexts (words before) of toxic texts, at RATIO times the rate of clean ones. Copies of a document add no contexts.
 The toxic compressor has the toxic dictionary in front of the ordinary one, so whatever is ordinary costs the same in both, and the gain of a window
 (compressed bytes with the ordinary dictionary less those with both) measures toxic words alone.
@@ -16,7 +16,7 @@ a text of any length counts.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ LEAST_CONTEXTS = 6
 RATIO = 10
 ORDINARY_BYTES = 65536
 TOXIC_BYTES = 4096
+TRAINING_WINDOWS = 200_000
 _EDGES = str.maketrans({c: " " for c in ".,!?;:\"*#$%&()[]{}<>|/\\+=~_^`"})
 
 
@@ -60,19 +61,29 @@ class Judge:
 
     @classmethod
     def train(cls, toxic: list[str], clean: list[str], apart: list[str]) -> Judge | None:
-        bad, good = [words_of(t) for t in toxic], [words_of(t) for t in clean]
-        seen: list[dict[str, set[str]]] = [defaultdict(set), defaultdict(set)]
-        for contexts, texts in zip(seen, (bad, good)):
-            for words in texts:
-                for before, word in zip(["", *words], words):
-                    contexts[word].add(before)
-        rate = sum(map(len, bad)) / max(1, sum(map(len, good)))
-        chosen = {w for w, c in seen[0].items() if len(w) > 3 and len(c) >= LEAST_CONTEXTS and len(c) >= RATIO * rate * (len(seen[1].get(w, ())) + 1)}
-        runs = [[w for w in words if w in chosen] for words in bad]
+        numbers: dict[str, int] = {}
+
+        def coded(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, int]:
+            """Word numbers of each text; the contexts that each word has in all of them; how many words there are."""
+            each = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in words_of(t)], np.int64) for t in texts]
+            words = np.concatenate([np.zeros(0, np.int64), *each])
+            before = np.concatenate([np.zeros(0, np.int64), *(np.append(0, e[:-1]) for e in each if len(e))])
+            pairs = np.unique(before << 32 | words) & 0xFFFFFFFF
+            return each, np.bincount(pairs, minlength=len(numbers) + 1), len(words)
+
+        bad, contexts, n_bad = coded(toxic)
+        _, others, n_good = coded(clean)
+        others = others[: len(contexts)]
+        good = contexts >= np.maximum(LEAST_CONTEXTS, RATIO * n_bad / max(1, n_good) * (others + 1))
+        names = list(numbers)
+        chosen = {k: names[k - 1] for k in np.flatnonzero(good[1:]) + 1 if len(names[k - 1]) > 3}
+        del numbers
+        runs = [[chosen[k] for k in e.tolist() if k in chosen] for e in bad]
         samples = [f" {' '.join(r[i : i + 3])} ".encode("utf-8", "replace") for r in runs for i in range(0, len(r), 3)]
-        if not samples or not good:
+        ordinary = list(islice((w for t in clean for w in windows(words_of(t), 6)), TRAINING_WINDOWS))
+        if not samples or not ordinary:
             return None
-        judge = cls(_dictionary([w for words in good for w in windows(words, 6)][:200_000], ORDINARY_BYTES, 64), _dictionary(samples, TOXIC_BYTES, 32), 0.0)
+        judge = cls(_dictionary(ordinary, ORDINARY_BYTES, 64), _dictionary(samples, TOXIC_BYTES, 32), 0.0)
         scores = [judge.score(t)[0] for t in apart]
         judge.threshold = max(FLOOR, float(np.quantile(scores, 1 - RATE))) if scores else FLOOR
         return judge
@@ -108,15 +119,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """A Judge from labelled rows, or None if either class has none."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(toxic_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
     marks = marks.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
-    order = [F.xxhash64("id"), F.col("id")]
-    picked = {t: [r.id for r in marks.where(F.col("toxic") == t).orderBy(*order).limit((1 if t else 8) * sample).select("id").collect()] for t in (0, 1)}
-    if not picked[0] or not picked[1]:
-        return None
-    wanted = docs.sparkSession.createDataFrame([(i,) for t in (0, 1) for i in picked[t]], "id long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("text").alias("text"))
-    texts = {r.id: r.text for r in rows.collect()}
-    clean = [texts[i] for i in picked[0] if i in texts]
-    return Judge.train([texts[i] for i in picked[1] if i in texts], clean[::2], clean[1::2])
+    picked = [marks.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit((1 if t else 6) * sample).select("id", "toxic") for t in (1, 0)]
+    wanted = F.broadcast(picked[0].union(picked[1]))  # at most 7 * sample rows
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(wanted, "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+
+    def fit(batches):  # in one task, so the sample's texts don't pass through the driver
+        texts = sorted((i, t, x) for b in batches for i, t, x in zip(*(c.to_pylist() for c in b.columns)))
+        bad, clean = ([x for _, t, x in texts if t == kind] for kind in (1, 0))
+        judge = Judge.train(bad, [x for k, x in enumerate(clean) if k % 3], clean[::3]) if bad and clean else None
+        if judge:
+            yield pa.record_batch([pa.array([judge.ordinary]), pa.array([judge.toxic]), pa.array([judge.threshold])], names=["ordinary", "toxic", "threshold"])
+
+    fitted = rows.coalesce(1).mapInArrow(fit, "ordinary binary, toxic binary, threshold double").first()
+    return Judge(bytes(fitted.ordinary), bytes(fitted.toxic), fitted.threshold) if fitted else None
 
 
 def score(docs: DataFrame, judge: Judge | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
