@@ -170,9 +170,11 @@ def rerank(hits: DataFrame, scorer: Callable[[str, list[str]], Sequence[float]]
             scores = list(scorer(asked, table.column("text").to_pylist()))
             if len(scores) != len(table):
                 raise ValueError(f"{len(table)} segments, {len(scores)} scores")
-            return table.append_column("rerank_score", pa.array([float(s) for s in scores], pa.float64()))
+            own = table.drop_columns(["__all"]) if by is None else table
+            return own.append_column("rerank_score", pa.array([float(s) for s in scores], pa.float64()))
 
-        scored = hits.groupBy(by if by else F.lit(0)).applyInArrow(run, schema)
+        together = hits if by else hits.withColumn("__all", F.lit(0))
+        scored = together.groupBy(by or "__all").applyInArrow(run, schema)
     order = Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy(F.desc("rerank_score"), "rank")
     out = scored.withColumn("__place", F.row_number().over(order))
     if limit is not None:
