@@ -1,9 +1,12 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
+FOLDERS = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent), str(Path(__file__).resolve().parent / "llm")]
+sys.path[:0] = FOLDERS
+os.environ["PYTHONPATH"] = os.pathsep.join([*FOLDERS, os.environ.get("PYTHONPATH", "")])  # for the workers
 
 
 @pytest.fixture(scope="session")
