@@ -41,7 +41,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# --- identity and sources -----------------------------------------------------------------------------
+# identity and sources
 
 
 def _norm(x: str) -> str:
@@ -82,7 +82,7 @@ def approx_tokens(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.approx_tokens(F.col("text")).alias("tokens"))
 
 
-# --- segments -----------------------------------------------------------------------------------------
+# segments
 
 _SEGMENT_ID = "sha256({norm} || '{{\"tokenizer\":\"char-approx\"}}')"
 
@@ -124,7 +124,7 @@ def segment_function(spark, sf_dir):
     return segment.Function(_sentences, "sentences").segments(documents(spark, sf_dir)).select("source_id", "idx", "text")
 
 
-# --- embeddings ---------------------------------------------------------------------------------------
+# embeddings
 
 
 @query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS ws FROM documents),
@@ -142,7 +142,7 @@ def hashing_embed(spark, sf_dir):
 
 
 def _letters(texts):
-    return np.array([[len(t), t.count("e"), t.count("a"), t.count("o")] for t in texts], np.float32)
+    return np.array([[len(t), *map(t.count, "eao")] for t in texts], np.float32)
 
 
 def _halves(texts):
@@ -180,7 +180,7 @@ def cache_lookup(spark, sf_dir):
     return rows.groupBy(F.when(size < 0, "hit").otherwise("miss").alias("found")).agg(F.count("*").alias("texts"), F.sum(F.abs(size)).alias("total"))
 
 
-# --- search -------------------------------------------------------------------------------------------
+# search
 
 
 def vector_index(spark, sf_dir) -> DataFrame:
@@ -260,7 +260,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest(spark, documents(spark, sf_dir), segment.Recursive(), HashingEmbedder(256)).search(asked, 10).select("source_id", "idx", "start", "end", "text", "score", "rank")
 
 
-# --- index maintenance --------------------------------------------------------------------------------
+# index maintenance
 
 _KINDS = f"""
 corpus_ AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, {_hash('text')} AS source_hash FROM documents WHERE doc_id % 10 <> 1),
@@ -365,7 +365,7 @@ def manager_refresh(spark, sf_dir):
     return manager.refresh().actions
 
 
-# --- lineage ------------------------------------------------------------------------------------------
+# lineage
 
 _STEPS = (Step("segment:line-segmenter"), Step("embed:hashing:v1@64", "1", {"input_type": "document"}))
 
@@ -405,7 +405,7 @@ def prune_dead_leaves(spark, sf_dir):
     return graph.prune_dead_leaves(rows, edges, leaves.where("ord % 10 <> 1").select("artifact_id"))[1]
 
 
-# --- evaluation ---------------------------------------------------------------------------------------
+# evaluation
 
 
 def label_qrels(spark, sf_dir) -> DataFrame:
@@ -498,7 +498,7 @@ def rag_means(spark, sf_dir):
     return evaluation.evaluate_rag(rag_samples(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
-# --- exploration --------------------------------------------------------------------------------------
+# exploration
 
 
 def _points(spark, sf_dir) -> DataFrame:
@@ -528,7 +528,7 @@ def nearest_centre(spark, sf_dir):
     return explore.assign(_points(spark, sf_dir), means)
 
 
-# --- changes ------------------------------------------------------------------------------------------
+# changes
 
 
 def event_feed(spark, sf_dir) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Mapping
 from typing import Any
@@ -18,7 +19,7 @@ BOM = "﻿"
 
 def normal_form(text: str) -> str:
     """NFC, without byte-order marks, with line feeds only."""
-    return unicodedata.normalize("NFC", text).replace(BOM, "").replace("\r\n", "\n").replace("\r", "\n")
+    return re.sub("\r\n?", "\n", unicodedata.normalize("NFC", text).replace(BOM, ""))
 
 
 def canonical_json(value: Any) -> str:

@@ -16,7 +16,7 @@ def approx_tokens(text: Column) -> Column:
 
 
 def count_tokens(text: str) -> int:
-    return max(1, round(len(text) / 4)) if text else 0
+    return round(max(len(text), 4) / 4) if text else 0
 
 
 def stripped(text: Column) -> Column:

@@ -44,10 +44,9 @@ class Embedder:
         if not len(texts):
             return np.zeros((0, self.dim or 0), np.float32)
         out = np.asarray(self(texts, input_type=input_type), np.float32)
-        if out.ndim != 2 or len(out) != len(texts):
-            raise EmbedderError(f"{self.model_id}: {len(texts)} texts gave an array of shape {out.shape}")
-        if self.dim is not None and out.shape[1] != self.dim:
-            raise EmbedderError(f"{self.model_id}: {out.shape[1]} dimensions instead of {self.dim}")
+        wanted = (len(texts), self.dim if self.dim is not None or out.ndim != 2 else out.shape[1])
+        if out.shape != wanted:
+            raise EmbedderError(f"{self.model_id} gave an array of shape {out.shape} instead of {wanted}")
         return out
 
     def __repr__(self):
@@ -57,9 +56,10 @@ class Embedder:
 class FunctionEmbedder(Embedder):
     """An embedder from a function of a list of texts."""
 
-    def __init__(self, func: Callable, model_id: str | None = None, dim: int | None = None, normalized: bool = False, honored_input_types: Iterable[str] = (), pass_input_type: bool = False):
+    def __init__(self, func, model_id=None, dim=None, normalized=False, honored_input_types=(), pass_input_type=False):
         self.func, self.dim, self.normalized, self.pass_input_type = func, dim, normalized, pass_input_type
-        self.model_id = model_id or f"function:{getattr(func, '__name__', 'embed')}"
+        name = getattr(func, "__name__", "embed")
+        self.model_id = model_id or "function:" + name
         self.honored_input_types = tuple(honored_input_types)
 
     def __call__(self, texts, input_type=None):
@@ -80,7 +80,7 @@ class HashingEmbedder(Embedder):
 
     normalized = True
 
-    def __init__(self, dim: int = 512, ngram_range: tuple[int, int] = (1, 2), sublinear_tf: bool = True):
+    def __init__(self, dim=512, ngram_range=(1, 2), sublinear_tf=True):
         low, high = ngram_range
         if dim < 1 or not 1 <= low <= high:
             raise ValueError(f"dim must be positive and the range of n-grams ascending from 1: {dim}, {ngram_range}")
@@ -109,10 +109,9 @@ class HashingEmbedder(Embedder):
         return found
 
     def __call__(self, texts, input_type=None):
-        texts = list(texts)
-        out = np.zeros((len(texts), self.dim), np.float32)
-        for row, text in zip(out, texts):
-            grams = self._grams(text)
+        counted = [self._grams(t) for t in texts]
+        out = np.zeros((len(counted), self.dim), np.float32)
+        for row, grams in zip(out, counted):
             if not grams:
                 continue
             places = [self._place(g) for g in grams]
@@ -173,25 +172,25 @@ class CachedEmbedder(_Around):
 
 
 def retryable(error: BaseException) -> bool:
-    status = getattr(error, "status_code", None) or getattr(error, "code", None)
-    if isinstance(status, int):
-        return status == 429 or status >= 500
+    codes = [c for c in (getattr(error, n, None) for n in ("status_code", "code")) if isinstance(c, int) and c]
+    if codes:
+        return codes[0] >= 500 or codes[0] == 429
     return isinstance(error, (ConnectionError, TimeoutError, urllib.error.URLError))
 
 
 @dataclass(frozen=True)
 class RetryPolicy:
+    jitter: float = 0.3
     max_attempts: int = 4
-    base_delay: float = 1.0
     max_delay: float = 30.0
-    jitter: float = 0.3
+    base_delay: float = 1.0
     retry_on: Callable[[BaseException], bool] = field(default=retryable)
 
 
 class RetryingEmbedder(_Around):
     """Tries again inside the task, since a retried task would embed its whole partition anew."""
 
-    def __init__(self, inner: Embedder, policy: RetryPolicy | None = None, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, inner, policy=None, sleep=time.sleep):
         super().__init__(inner)
         self.policy, self.sleep = policy or RetryPolicy(), sleep
 
@@ -211,15 +210,15 @@ class RetryingEmbedder(_Around):
 class MultiEmbedder(Embedder):
     """Each text goes to the embedder that the predicate names."""
 
-    def __init__(self, routes: Mapping[Hashable, Embedder], predicate: Callable[[str], Hashable], default: Embedder | None = None):
+    def __init__(self, routes, predicate, default=None):
         if not routes and default is None:
             raise ValueError("at least one route is needed")
         self.routes, self.predicate, self.default = dict(routes), predicate, default
         every = [*self.routes.values(), *([default] if default else [])]
-        dims = {e.dim for e in every if e.dim is not None}
-        if len(dims) > 1:
-            raise ValueError(f"routes differ in dimensions: {sorted(dims)}")
-        self.dim = dims.pop() if dims else None
+        known = sorted({e.dim for e in every} - {None})
+        if known[1:]:
+            raise ValueError(f"routes differ in dimensions: {known}")
+        self.dim = known[0] if known else None
         self.normalized = all(e.normalized for e in every)
         self.model_id = f"multi({'|'.join(dict.fromkeys(e.model_id for e in every))})"
         self.honored_input_types = tuple(sorted(set.intersection(*(set(e.honored_input_types) for e in every))))
@@ -241,19 +240,21 @@ class MultiEmbedder(Embedder):
         return out if out is not None else np.zeros((0, self.dim or 0), np.float32)
 
 
-# --- services ---------------------------------------------------------------------------------------
+# services
 
 
 def post_json(url: str, payload, headers: Mapping[str, str], timeout: float):
-    body = payload if isinstance(payload, bytes) else json.dumps(payload).encode()
-    request = urllib.request.Request(url, data=body, headers={"Content-Type": "application/json", **headers}, method="POST")
+    asked = urllib.request.Request(url, payload if isinstance(payload, bytes) else json.dumps(payload).encode())
+    for name, value in [("Content-Type", "application/json"), *headers.items()]:
+        asked.add_header(name, value)
     try:
-        with urllib.request.urlopen(request, timeout=timeout) as reply:
-            return json.loads(reply.read())
+        reply = urllib.request.urlopen(asked, None, timeout)
     except urllib.error.HTTPError as e:
         failure = EmbedderError(f"{url} answered {e.code}: {e.read()[:300]!r}")
         failure.status_code = e.code
         raise failure from e
+    with reply:
+        return json.loads(reply.read())
 
 
 class ServiceEmbedder(Embedder):
@@ -274,9 +275,9 @@ class ServiceEmbedder(Embedder):
         return {**self.headers, self.auth[0]: self.auth[1] + key}
 
     def __call__(self, texts, input_type=None):
-        texts, head, rows = list(texts), self._head() if self.key_names else self.headers, []
-        for i in range(0, len(texts), self.batch_size):
-            part = texts[i : i + self.batch_size]
+        waiting, head, rows = list(texts), self._head(), []
+        while waiting:
+            part, waiting = waiting[: self.batch_size], waiting[self.batch_size :]
             got = self.parse(self.send(self.url, self.build(part, input_type), headers=head, timeout=self.timeout))
             if len(got) != len(part):
                 raise EmbedderError(f"{self.model_id}: {len(part)} texts, {len(got)} vectors")
@@ -287,13 +288,24 @@ class ServiceEmbedder(Embedder):
         return out
 
 
-def http_embedder(url: str, model_id: str | None = None, dim: int | None = None, normalized: bool = False, batch_size: int = 64, headers: Mapping[str, str] | None = None, timeout: float = 30.0, payload_builder: Callable | None = None, response_parser: Callable | None = None, send: Callable = post_json) -> Embedder:
+def http_embedder(url, model_id=None, dim=None, normalized=False, batch_size=64, headers=None, timeout=30.0, payload_builder=None, response_parser=None, send=post_json) -> Embedder:
     build = (lambda texts, _: payload_builder(texts)) if payload_builder else (lambda texts, _: {"inputs": list(texts)})
     return ServiceEmbedder(model_id or f"http:{url}", url, build, response_parser or (lambda r: r), batch_size, dim, normalized, headers=headers, timeout=timeout, send=send)
 
 
-def _dim(model: str, dim: int | None, native: Mapping[str, int], shortened: Iterable[str]) -> tuple[int | None, bool]:
+OPENAI, COHERE, VOYAGE, GEMINI = "text-embedding-3-small", "embed-v4.0", "voyage-3.5", "gemini-embedding-001"
+PURPOSES = ("document", "query", "classification", "clustering")
+
+
+def _sizes(spec: str) -> tuple[dict[str, int], set[str]]:
+    """Dimensions by model from `model=size ...`; those with a star can be cut shorter."""
+    pairs = [x.split("=") for x in spec.split()]
+    return {m: int(n.rstrip("*")) for m, n in pairs}, {m for m, n in pairs if n.endswith("*")}
+
+
+def _dim(model: str, dim: int | None, sizes: tuple[dict[str, int], set[str]]) -> tuple[int | None, bool]:
     """(dimensions, whether they are fewer than the model's own)."""
+    native, shortened = sizes
     own = native.get(model)
     if dim is None or dim == own:
         return own, False
@@ -302,36 +314,36 @@ def _dim(model: str, dim: int | None, native: Mapping[str, int], shortened: Iter
     return dim, True
 
 
-def openai_embedder(model: str = "text-embedding-3-small", dim: int | None = None, api_key: str | None = None, batch_size: int = 2048, send: Callable = post_json) -> Embedder:
-    size, cut = _dim(model, dim, {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536}, ("text-embedding-3-small", "text-embedding-3-large"))
+def openai_embedder(model=OPENAI, dim=None, api_key=None, batch_size=2048, send=post_json) -> Embedder:
+    size, cut = _dim(model, dim, _sizes("text-embedding-3-small=1536* text-embedding-3-large=3072* text-embedding-ada-002=1536"))
     build = lambda texts, _: {"model": model, "input": list(texts), **({"dimensions": size} if cut else {})}
     parse = lambda r: [d["embedding"] for d in sorted(r["data"], key=lambda d: d["index"])]
     return ServiceEmbedder(f"openai:{model}" + (f"@{size}" if cut else ""), "https://api.openai.com/v1/embeddings", build, parse, min(batch_size, 2048), size, True, api_key, ("OPENAI_API_KEY",), send=send)
 
 
-def cohere_embedder(model: str = "embed-v4.0", dim: int | None = None, api_key: str | None = None, batch_size: int = 96, timeout: float = 60.0, send: Callable = post_json) -> Embedder:
-    size, cut = _dim(model, dim, {"embed-v4.0": 1536, "embed-english-v3.0": 1024, "embed-multilingual-v3.0": 1024}, ("embed-v4.0",))
-    kinds = {"document": "search_document", "query": "search_query", "classification": "classification", "clustering": "clustering"}
+def cohere_embedder(model=COHERE, dim=None, api_key=None, batch_size=96, timeout=60.0, send=post_json) -> Embedder:
+    size, cut = _dim(model, dim, _sizes("embed-v4.0=1536* embed-english-v3.0=1024 embed-multilingual-v3.0=1024"))
+    kinds = dict(zip(PURPOSES, ("search_document", "search_query", *PURPOSES[2:])))
     build = lambda texts, kind: {"model": model, "texts": list(texts), "input_type": kinds.get(kind, "search_document"), "embedding_types": ["float"], **({"output_dimension": size} if cut else {})}
     parse = lambda r: r["embeddings"]["float"] if isinstance(r["embeddings"], Mapping) else r["embeddings"]
     return ServiceEmbedder(f"cohere:{model}" + (f"@{size}" if cut else ""), "https://api.cohere.com/v2/embed", build, parse, min(batch_size, 96), size, False, api_key, ("COHERE_API_KEY", "CO_API_KEY"), timeout=timeout, honored=kinds, send=send)
 
 
-def voyage_embedder(model: str = "voyage-3.5", dim: int | None = None, api_key: str | None = None, batch_size: int = 1000, timeout: float = 60.0, send: Callable = post_json) -> Embedder:
-    size, cut = _dim(model, dim, {"voyage-3.5": 1024, "voyage-3.5-lite": 1024, "voyage-3-large": 1024, "voyage-code-3": 1024}, ("voyage-3.5", "voyage-3.5-lite", "voyage-3-large", "voyage-code-3"))
+def voyage_embedder(model=VOYAGE, dim=None, api_key=None, batch_size=1000, timeout=60.0, send=post_json) -> Embedder:
+    size, cut = _dim(model, dim, _sizes(" ".join(f"voyage-{v}=1024*" for v in ("3.5", "3.5-lite", "3-large", "code-3"))))
     build = lambda texts, kind: {"model": model, "input": list(texts), **({"input_type": kind} if kind in ("query", "document") else {}), **({"output_dimension": size} if cut else {})}
     parse = lambda r: [d["embedding"] for d in sorted(r["data"], key=lambda d: d["index"])]
     return ServiceEmbedder(f"voyage:{model}" + (f"@{size}" if cut else ""), "https://api.voyageai.com/v1/embeddings", build, parse, min(batch_size, 1000), size, True, api_key, ("VOYAGE_API_KEY",), timeout=timeout, honored=("query", "document"), send=send)
 
 
-def gemini_embedder(model: str = "gemini-embedding-001", dim: int | None = None, api_key: str | None = None, batch_size: int = 100, timeout: float = 60.0, send: Callable = post_json) -> Embedder:
+def gemini_embedder(model=GEMINI, dim=None, api_key=None, batch_size=100, timeout=60.0, send=post_json) -> Embedder:
     model = model.removeprefix("models/")
-    size, cut = _dim(model, dim, {"gemini-embedding-001": 3072}, ("gemini-embedding-001",))
-    kinds = {"document": "RETRIEVAL_DOCUMENT", "query": "RETRIEVAL_QUERY", "classification": "CLASSIFICATION", "clustering": "CLUSTERING"}
+    size, cut = _dim(model, dim, _sizes(f"{GEMINI}=3072*"))
+    kinds = {p: ("RETRIEVAL_" if p in PURPOSES[:2] else "") + p.upper() for p in PURPOSES}
 
     def build(texts, kind):
         extra = ({"taskType": kinds[kind]} if kind in kinds else {}) | ({"outputDimensionality": size} if cut else {})
-        return {"requests": [{"model": f"models/{model}", "content": {"parts": [{"text": t}]}, **extra} for t in texts]}
+        return {"requests": [{"model": f"models/{model}", **extra, "content": {"parts": [dict(text=t)]}} for t in texts]}
 
     url = f"https://generativelanguage.googleapis.com/v1beta/models/{model}:batchEmbedContents"
     return ServiceEmbedder(f"gemini:{model}" + (f"@{size}" if cut else ""), url, build, lambda r: [e["values"] for e in r["embeddings"]], min(batch_size, 100), size, not cut, api_key, ("GEMINI_API_KEY", "GOOGLE_API_KEY"), ("x-goog-api-key", ""), timeout=timeout, honored=kinds, send=send)
@@ -374,12 +386,12 @@ _SERVICES = {"openai": openai_embedder, "cohere": cohere_embedder, "voyage": voy
 
 def as_embedder(x=None, api_key: str | None = None, **options) -> Embedder:
     """An embedder from nothing (hashing), an embedder, a URL, `service:model`, `hashing`, `st:model` or a bare model name, or a function."""
-    if x is None:
-        return HashingEmbedder(**options)
     if isinstance(x, Embedder):
         return x
+    if x is None:
+        return HashingEmbedder(**options)
     if isinstance(x, str):
-        if x.startswith(("http://", "https://")):
+        if re.match("https?://", x):
             return http_embedder(x, **options)
         head, _, rest = x.partition(":")
         if head in _SERVICES:
@@ -392,7 +404,7 @@ def as_embedder(x=None, api_key: str | None = None, **options) -> Embedder:
     raise TypeError(f"no embedder can be made of {type(x).__name__}")
 
 
-# --- columns and tables -----------------------------------------------------------------------------
+# columns and tables
 
 
 def embedded(rows: DataFrame, embedder: Embedder, text_col: str = "text", vector_col: str = "vector", input_type: str | None = "document") -> DataFrame:

@@ -3,8 +3,6 @@
 runs: query_id, doc_id, rank (from 1); qrels: query_id, doc_id, relevance (0 is judged and not relevant).
 """
 
-from __future__ import annotations
-
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import answer_tokens, normal_answer
 
-METRICS = ("ndcg", "recall", "precision", "mrr", "map")
-RAG_METRICS = ("exact_match", "token_f1", "context_recall", "context_precision", "non_empty_rate")
+METRICS = tuple("ndcg map mrr precision recall".split())
+RAG_METRICS = tuple("token_f1 exact_match context_precision context_recall non_empty_rate".split())
 CUTS = (1, 5, 10, 100)
 
 

@@ -72,7 +72,7 @@ def project(rows: DataFrame, dims: int = 2, method: str = "auto", n_neighbors: i
     return pca(rows, dims) if method == "pca" else _umap(rows, dims, n_neighbors, min_dist, random_state)
 
 
-def cluster(rows: DataFrame, method: str = "kmeans", n_clusters: int = 8, min_cluster_size: int = 5, normalize: bool = True, random_state: int = 42, max_iter: int = 100) -> DataFrame:
+def cluster(rows: DataFrame, method="kmeans", n_clusters=8, min_cluster_size=5, normalize=True, random_state=42, max_iter=100) -> DataFrame:
     """id, label. Vectors are brought to length 1 first, unless normalize is off."""
     data = _ml(rows.select("id", "vector"))
     if normalize:

@@ -3,8 +3,6 @@
 Closures are semi-naive rounds of joins; pipelines are two steps deep, but `depth` allows for more.
 """
 
-from __future__ import annotations
-
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -25,15 +23,15 @@ class Recipe:
 
     op: str
     op_version: str
-    inputs: tuple[str, ...] = ()
-    params: Mapping[str, Any] = field(default_factory=dict)
+    inputs: tuple = ()
+    params: Mapping = field(default_factory=dict)
 
-    def as_dict(self) -> dict[str, Any]:
-        return {"op": self.op, "op_version": self.op_version, "inputs": list(self.inputs), "params": dict(self.params)}
+    def as_dict(self) -> dict:
+        return dict(op=self.op, op_version=self.op_version, inputs=list(self.inputs), params=dict(self.params))
 
     @classmethod
-    def from_dict(cls, d: Mapping[str, Any]) -> Recipe:
-        return cls(d["op"], d["op_version"], tuple(d.get("inputs", ())), dict(d.get("params", {})))
+    def from_dict(cls, data: Mapping) -> "Recipe":
+        return cls(data["op"], data["op_version"], tuple(data.get("inputs", ())), dict(data.get("params", {})))
 
     @property
     def artifact_id(self) -> str:

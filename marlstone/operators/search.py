@@ -4,8 +4,6 @@ An index is a table with an array<float> column `vector`, columns `ord` and `idx
 a vector without length), to 9 decimals; of equal scores the earlier (ord, idx) comes first.
 """
 
-from __future__ import annotations
-
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -18,6 +16,7 @@ from ..functions.vector import cosine
 #: Queries of a batch that are sent to every task; more are joined with the index in blocks.
 MOST_BROADCAST = 4096
 BLOCK_ROWS = 50_000
+CROSS_ENCODER = "/".join(("cross-encoder", "ms-marco-MiniLM-L-6-v2"))
 
 _COMPARE = {"$eq": lambda c, v: c == v, "$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v}
 
@@ -191,7 +190,7 @@ def with_reranker(retrieve: Callable[..., DataFrame], scorer, fetch_k: int = 50)
     return search
 
 
-def cross_encoder_reranker(model_name: str = "cross-encoder/ms-marco-MiniLM-L-6-v2", **options) -> Callable[[str, list[str]], list[float]]:
+def cross_encoder_reranker(model_name=CROSS_ENCODER, **options) -> Callable[[str, list[str]], list[float]]:
     """A scorer that runs a cross-encoder of the sentence-transformers package, loaded at its first call."""
     held: dict = {}
 

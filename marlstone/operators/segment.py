@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.identity import canonical_json, merged_metadata, segment_id
 
-SEPARATORS = ("\n\n", "\n", ". ", ", ", " ", "")
+SEPARATORS = (2 * "\n", "\n", *(mark + " " for mark in (".", ",", "")), "")
 KEPT = ("source_id", "source_hash", "ord")
 COLUMNS = (*KEPT, "parent_id", "idx", "start", "end", "text", "tokens", "metadata", "segment_id")
 _BREAKS = re.compile("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MODES = ("none", "incremental", "full", "scoped_full")
+MODES = ("full", "scoped_full", "incremental", "none")
 
 
 def corpus_state(corpus: DataFrame) -> DataFrame:

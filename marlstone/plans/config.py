@@ -12,7 +12,7 @@ from ..operators.embed import Embedder
 from ..operators.segment import Segmenter
 
 
-def full_arguments(function: Callable, args: tuple = (), kwargs: Mapping[str, Any] | None = None) -> dict[str, Any]:
+def full_arguments(function, args=(), kwargs=None) -> dict[str, Any]:
     """Arguments by name with defaults filled in. What the function doesn't take is kept under its own name, what it lacks stays out."""
     given = dict(kwargs or {})
     try:
@@ -46,14 +46,14 @@ def step_parameters(function: Callable, given: Mapping[str, Any] | None = None,
 class Step:
     op: str
     op_version: str = "1"
-    params: Mapping[str, Any] = field(default_factory=dict)
+    params: Mapping = field(default_factory=dict)
 
-    def as_dict(self) -> dict[str, Any]:
-        return {"op": self.op, "op_version": self.op_version, "params": dict(self.params)}
+    def as_dict(self) -> dict:
+        return dict(op=self.op, op_version=self.op_version, params=dict(self.params))
 
     @classmethod
-    def from_dict(cls, d: Mapping[str, Any]) -> Step:
-        return cls(d["op"], d.get("op_version", "1"), dict(d.get("params", {})))
+    def from_dict(cls, data: Mapping) -> Step:
+        return cls(data["op"], data.get("op_version", "1"), dict(data.get("params", {})))
 
 
 @dataclass(frozen=True)
@@ -61,12 +61,12 @@ class Pipeline:
     segment: Step
     embed: Step
 
-    def as_dict(self) -> dict[str, Any]:
-        return {"embed": self.embed.as_dict(), "segment": self.segment.as_dict()}
+    def as_dict(self) -> dict:
+        return {name: getattr(self, name).as_dict() for name in ("embed", "segment")}
 
     @classmethod
-    def from_dict(cls, d: Mapping[str, Any]) -> Pipeline:
-        return cls(Step.from_dict(d["segment"]), Step.from_dict(d["embed"]))
+    def from_dict(cls, data: Mapping) -> Pipeline:
+        return cls(*(Step.from_dict(data[name]) for name in ("segment", "embed")))
 
     @property
     def config_id(self) -> str:

@@ -198,7 +198,7 @@ class Manager:
 
     def refresh(self, config: str | None = None, sources: DataFrame | Sequence[str] | None = None, mode: str = "full") -> Refreshed:
         """Deletes, indexes and reports, by the plan of the mode; one new version of the index."""
-        if mode == "full" and sources is not None:
+        if sources is not None and mode == "full":
             raise ValueError("a full refresh takes all sources: use mode='scoped_full'")
         c = self.resolve(config)
         report = self.diagnose(c.config_id).cache()

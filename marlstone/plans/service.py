@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -37,11 +36,11 @@ class Service:
     def __getitem__(self, corpus_id: str) -> Manager:
         return self._managers[corpus_id]
 
-    def __contains__(self, corpus_id: object) -> bool:
-        return corpus_id in self._managers
+    def __contains__(self, name) -> bool:
+        return name in self._managers
 
-    def __iter__(self) -> Iterator[str]:
-        return iter(self._managers)
+    def __iter__(self):
+        yield from self._managers
 
     def __len__(self) -> int:
         return len(self._managers)

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-JUDGEMENTS = ("qrels.tsv", "qrels/test.tsv", "qrels/dev.tsv")
+JUDGEMENTS = tuple(f"{place}.tsv" for place in ("qrels", "qrels/test", "qrels/dev"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -61,13 +61,13 @@ def _single_file(df: DataFrame, path: Path) -> None:
 
 def write_beir(directory: str, corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> str:
     """The same layout written; titles are empty."""
+    os.makedirs(directory, exist_ok=True)
     root = Path(directory)
-    root.mkdir(parents=True, exist_ok=True)
     for name, df, key in (("corpus.jsonl", corpus, "doc_id"), ("queries.jsonl", queries, "query_id")):
         (root / name).unlink(missing_ok=True)
         fields = [F.col(key).cast("string").alias("_id"), *([F.lit("").alias("title")] if key == "doc_id" else []), F.coalesce("text", F.lit("")).alias("text")]
         _single_file(df.orderBy(key).select(F.to_json(F.struct(*fields)).alias("value")), root / name)
-    (root / "qrels.tsv").write_text("query-id\tcorpus-id\tscore\n")
+    (root / JUDGEMENTS[0]).write_text("\t".join(("query-id", "corpus-id", "score")) + "\n")
     grade = F.when(F.col("relevance") == F.floor("relevance"), F.col("relevance").cast("long").cast("string")).otherwise(F.col("relevance").cast("string"))
     _single_file(qrels.orderBy("query_id", "doc_id").select(F.concat_ws("\t", "query_id", "doc_id", grade).alias("value")), root / "qrels.tsv")
     return str(root)

@@ -25,7 +25,7 @@ def unpacked(source: str | bytes | Mapping) -> tuple[str | None, str | None, str
         raise ValueError("a structured source needs a text")
     if not isinstance(text, str):
         raise TypeError("the text of a source must be a string")
-    own = {k: v for k, v in source.items() if k not in ("text", "id", "metadata") and v is not None}
+    own = {k: source[k] for k in source.keys() - {"id", "metadata", "text"} if source[k] is not None}
     given = source.get("id")
     return text, None if given is None else str(given), canonical_json({**(source.get("metadata") or {}), **own})
 

@@ -29,7 +29,7 @@ def flags(manager):
 
 
 def test_ingest_and_search(spark):
-    found = ingest(spark, ["machine code", "ocean wave", "forest path"], segment.Lines(), model())
+    found = ingest(spark, ["forest path", "ocean wave", "machine code"], segment.Lines(), model())
     best = found.search("ocean wave", 2).orderBy("rank").collect()
     assert best[0].text == "ocean wave" and best[0].score == pytest.approx(1.0) and len(best) == 2
     assert ingest(spark, None, None, model()).search("x").count() == 0
@@ -86,7 +86,7 @@ def test_beir_round_trip(spark, tmp_path):
     (tmp_path / "corpus.jsonl").write_text("\n".join(json.dumps(x) for x in [{"_id": "d1", "title": " T ", "text": "body "}, {"id": "d2", "text": "old"}, {"_id": "d2", "title": "", "text": "new"}]) + "\n\n")
     (tmp_path / "queries.jsonl").write_text(json.dumps({"_id": "q", "text": "ask"}) + "\n")
     (tmp_path / "qrels").mkdir()
-    (tmp_path / "qrels" / "test.tsv").write_text("query-id\tcorpus-id\tscore\nq\td1\t2\nq\td1\t1\nshort\tline\n")
+    (tmp_path / "qrels" / "test.tsv").write_text("\n".join(["query-id\tcorpus-id\tscore", "q\td1\t2", "q\td1\t1", "short\tline", ""]))
     corpus, queries, qrels = beir.read_beir(spark, str(tmp_path))
     assert {tuple(r) for r in corpus.collect()} == {("d1", "T\nbody"), ("d2", "new")} and [tuple(r) for r in qrels.collect()] == [("q", "d1", 1.0)]
     beir.write_beir(str(tmp_path / "out"), corpus, queries, qrels)
