@@ -134,6 +134,13 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(buffer, starts, ends), counts
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut to few rows, so that few of their texts are Python objects at a time."""
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.slice(k, rows)
+
+
 def in_pieces(texts: list[str], most: int = 1 << 20):
     """Index ranges of texts that together have about `most` characters; one longer text stands alone."""
     begin = size = 0
@@ -146,7 +153,7 @@ def in_pieces(texts: list[str], most: int = 1 << 20):
         yield begin, len(texts)
 
 
-def _forest(pairs: np.ndarray) -> np.ndarray:
+def forest(pairs: np.ndarray) -> np.ndarray:
     """Edges (node, least node of its tree) with the same components as the given edges."""
     names, flat = np.unique(pairs, return_inverse=True)
     parent = list(range(len(names)))
@@ -175,13 +182,13 @@ def _local_forests(batches):
         held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1))
         size += len(held[-1])
         if size > 1 << 20:
-            held = [_forest(np.concatenate(held))]
+            held = [forest(np.concatenate(held))]
             size = len(held[0])
             if size > 1 << 19:  # it no longer shrinks: pass it on
                 yield pa.record_batch({"u": held[0][:, 0], "v": held[0][:, 1]})
                 held, size = [], 0
     if held:
-        out = _forest(np.concatenate(held))
+        out = forest(np.concatenate(held))
         yield pa.record_batch({"u": out[:, 0], "v": out[:, 1]})
 
 

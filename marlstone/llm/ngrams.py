@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_table, components, in_pieces, mix, word_hashes
+from .common import as_id, as_table, components, forest, identified, in_pieces, key_filter, mix, slices, word_hashes
 
 N = 2
 THETA = 0.6
@@ -74,7 +74,7 @@ def least_overlap(a, b, theta: float):
 
 
 def _pieces_of(batches, column: int):
-    for b in batches:
+    for b in slices(batches):
         texts = [t or "" for t in b.column(column).to_pylist()]
         for i, j in in_pieces(texts):
             yield b, i, j, texts[i:j]
@@ -128,7 +128,7 @@ def _posting_rows(held: list, buckets: int, theta: float, sketch: np.ndarray, bi
     return pa.record_batch([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "docs", "sizes", "lengths", "grams"])
 
 
-def _pair_hits(gram: np.ndarray, doc: np.ndarray, most: int = 1 << 22):
+def _pair_hits(gram: np.ndarray, doc: np.ndarray, most: int = 1 << 19):
     """Index pairs of postings that share a gram, list by list, in arrays of about `most` pairs. gram is ascending."""
     start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
     length = np.diff(np.append(start, len(gram)))
@@ -146,9 +146,27 @@ def _pair_hits(gram: np.ndarray, doc: np.ndarray, most: int = 1 << 22):
                     yield np.full(b + size - 1 - i, doc[i]), doc[i + 1 : b + size]
 
 
-def _bucket_pairs(batches, theta: float):
-    """Per pair of documents of one bucket that are of fitting sizes, the number of short lists that hold both."""
-    held = [[], [], [], []]
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    head = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return head, np.diff(np.append(head, len(x)))
+
+
+def _add(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their summed times."""
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    head, _ = _runs(keys)
+    return keys[head], np.add.reduceat(times, head) if len(head) else times
+
+
+PAIRS = "part int, u binary, nu binary, many binary, v binary, nv binary, at binary, hits binary"
+
+
+def _bucket_pairs(batches, theta: float, parts: int):
+    """Per pair of documents of one bucket that are of fitting sizes, the number of short lists that hold both: one row for each part of the lesser
+    names, with its documents (name, size, how many partners), a table of their partners, and for each pair the partner's place in it and the hits."""
+    held: list[list[np.ndarray]] = [[], [], [], []]
     for b in batches:
         for bucket, *row in zip(b.column(0).to_pylist(), *(b.column(c) for c in (1, 2, 3, 4))):
             docs, sizes, lengths, grams = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.uint64, np.int32, np.int32, np.uint32)))
@@ -159,34 +177,65 @@ def _bucket_pairs(batches, theta: float):
     docs, sizes, lengths, grams = (np.concatenate(x) for x in held)
     names, first, number = np.unique(docs, return_index=True, return_inverse=True)
     n = sizes[first].astype(np.int64)
-    owner = np.repeat(number, lengths)
+    owner = np.repeat(number.astype(np.int32), lengths)
+    del docs, sizes, lengths, held
     order = np.lexsort((owner, grams))
     grams, owner = grams[order], owner[order]
+    del order
     keep = np.ones(len(grams), bool)
     keep[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])  # copies have the same name
+    grams, owner = grams[keep], owner[keep].astype(np.int64)
     counts: list[tuple[np.ndarray, np.ndarray]] = []
     waiting: list[np.ndarray] = []
     size = 0
 
     def settle():
-        keys = np.concatenate([*waiting, *(k for k, _ in counts)])
-        weights = np.concatenate([np.ones(sum(map(len, waiting)), np.int64), *(c for _, c in counts)])
-        keys, where = np.unique(keys, return_inverse=True)
-        return keys, np.bincount(where, weights, len(keys)).astype(np.int64)
+        new = np.concatenate(waiting) if waiting else np.zeros(0, np.int64)
+        new.sort()
+        head, times = _runs(new)
+        return _add(np.concatenate([new[head], *(k for k, _ in counts)]), np.concatenate([times, *(c for _, c in counts)]))
 
-    for a, b in _pair_hits(grams[keep], owner[keep]):
+    for a, b in _pair_hits(grams, owner):
         fit = np.minimum(n[a], n[b]) >= theta * np.maximum(n[a], n[b]) - 1e-9
         waiting.append(np.minimum(a, b)[fit] * len(names) + np.maximum(a, b)[fit])
         size += len(waiting[-1])
-        if size > max(1 << 23, 2 * sum(len(k) for k, _ in counts)):
+        if size > max(1 << 21, 2 * sum(len(k) for k, _ in counts)):
             counts, waiting, size = [settle()], [], 0
-    if waiting or counts:
-        keys, hits = settle()
-        a, b = keys // len(names), keys % len(names)
-        for k in range(0, len(keys), 1 << 18):
-            s = slice(k, k + (1 << 18))
-            x, y = a[s], b[s]
-            yield pa.record_batch([pa.array(names[x].view(np.int64)), pa.array(names[y].view(np.int64)), pa.array(hits[s]), pa.array(n[x]), pa.array(n[y])], names=["u", "v", "hits", "nu", "nv"])
+    keys, hits = settle()
+    a, b = keys // len(names), keys % len(names)
+    part = ((names[a] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # ascending, as a is
+    edge = np.searchsorted(part, np.arange(parts + 1))
+    for k in range(parts):
+        s = slice(edge[k], edge[k + 1])
+        if edge[k] == edge[k + 1]:
+            continue
+        head, many = _runs(a[s])
+        u = a[s][head]
+        v, at = np.unique(b[s], return_inverse=True)
+        columns = (names[u], n[u].astype(np.int32), many.astype(np.int32), names[v], n[v].astype(np.int32), at.astype(np.uint32), np.minimum(hits[s], 65535).astype(np.uint16))
+        yield pa.record_batch([pa.array([k], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=["part", "u", "nu", "many", "v", "nv", "at", "hits"])
+
+
+def _likely_pairs(batches, theta: float):
+    """A spanning forest of the pairs whose hits in all buckets reach T - L. A part is a few of all names, so its pairs are summed in memory."""
+    kinds = (np.uint64, np.int32, np.int32, np.uint64, np.int32, np.uint32, np.uint16)
+    rows = [[np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, kinds)] for b in batches for row in zip(*(b.column(c) for c in range(1, 8)))]
+    if not rows:
+        return
+    names, first = np.unique(np.concatenate([x for r in rows for x in (r[0], r[3])]), return_index=True)
+    n = np.concatenate([x for r in rows for x in (r[1], r[4])])[first].astype(np.int64)
+    counts: list[tuple[np.ndarray, np.ndarray]] = []
+    for u, _, many, v, _, at, hits in rows:
+        keys = np.repeat(np.searchsorted(names, u), many) * len(names) + np.searchsorted(names, v)[at]
+        counts.append((keys, hits.astype(np.int64)))
+        if sum(len(k) for k, _ in counts[1:]) > max(1 << 20, len(counts[0][0])):
+            counts = [_add(np.concatenate([k for k, _ in counts]), np.concatenate([c for _, c in counts]))]
+    keys, hits = _add(np.concatenate([k for k, _ in counts]), np.concatenate([c for _, c in counts]))
+    a, b = keys // len(names), keys % len(names)
+    most_long = np.maximum(least_size(n[a], theta), least_size(n[b], theta)) - 1
+    ok = hits >= least_overlap(n[a], n[b], theta) - most_long
+    edges = forest(np.stack([names[a[ok]].view(np.int64), names[b[ok]].view(np.int64)], axis=1))
+    yield pa.record_batch({"u": edges[:, 0], "v": edges[:, 1]})
 
 
 def divide_skip(sets: list[np.ndarray], theta: float, mu: float = MU):
@@ -254,6 +303,8 @@ def _search(batches, n: int, theta: float):
             if part != now:
                 rows += flush()
                 held_sig, held_set, now = [], [], part
+            if held_sig and held_sig[-1] == sig:  # a repeated row
+                continue
             held_sig.append(sig)
             held_set.append(grams[lo:hi])
         if len(rows) > 1 << 16:
@@ -265,24 +316,24 @@ def _search(batches, n: int, theta: float):
 
 
 def _classes(own: DataFrame, n: int) -> DataFrame:
-    """id, th (hash of the text), sig, of documents with grams."""
+    """kid, th, sig, of documents with grams."""
 
     def run(batches):
         for b, i, j, texts in _pieces_of(batches, 2):
             _, sizes, sigs = gram_sets(texts, n)
-            out = pa.record_batch([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(sigs.view(np.int64))], names=["id", "th", "sig"])
+            out = pa.record_batch([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(sigs.view(np.int64))], names=["kid", "th", "sig"])
             yield out.filter(pa.array(sizes > 0))
 
-    return own.select("id", "th", "text").mapInArrow(run, "id long, th long, sig long")
+    return own.mapInArrow(run, "kid long, th long, sig long")
 
 
 def _class_pairs(docs: DataFrame, n: int, theta: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(documents: id, th, sig; pairs of classes: u, v, overlap, jaccard)."""
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    """(documents: kid, th, sig; pairs of classes: u, v, overlap, jaccard)."""
+    own = identified(docs, id_col, text_col)
     spark = docs.sparkSession
     classes = as_table(_classes(own, n), "ngram-classes")
     shared = spark.sparkContext.broadcast(document_sketch(own, n))
-    buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
 
     def emit(batches):
         held, size = [], 0
@@ -296,16 +347,13 @@ def _class_pairs(docs: DataFrame, n: int, theta: float, id_col: str, text_col: s
             yield _posting_rows(held, buckets, theta, shared.value, SKETCH_BITS)
 
     postings = own.select("text").mapInArrow(emit, "bucket int, docs binary, sizes binary, lengths binary, grams binary").repartition(buckets, "bucket")
-    hits = postings.mapInArrow(lambda batches: _bucket_pairs(batches, theta), "u long, v long, hits long, nu long, nv long")
-    summed = hits.groupBy("u", "v").agg(F.sum("hits").alias("hits"), F.first("nu").alias("nu"), F.first("nv").alias("nv"))
-    ceil = lambda x: F.ceil(x - 1e-9)
-    most_long = F.greatest(ceil(F.col("nu") * theta), ceil(F.col("nv") * theta)) - 1
-    likely = as_table(summed.where(F.col("hits") >= ceil((F.col("nu") + F.col("nv")) * (theta / (1 + theta))) - most_long).select("u", "v"), "ngram-candidates")
+    hits = postings.mapInArrow(lambda batches: _bucket_pairs(batches, theta, buckets), PAIRS).repartition(buckets, "part")
+    likely = as_table(hits.mapInArrow(lambda batches: _likely_pairs(batches, theta), "u long, v long"), "ngram-candidates")
     parts = components(likely)
-    first = classes.groupBy("sig").agg(F.min(F.struct("id", "th")).alias("first"))
-    chosen = first.join(parts, F.col("sig") == F.col("node")).select("component", "sig", F.col("first.id").alias("fid"), F.col("first.th").alias("fth"))
-    texts = own.dropDuplicates(["id", "th"]).join(chosen, F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth"))).select("component", "sig", "text")
-    ordered = texts.repartition("component").sortWithinPartitions("component")
+    first = classes.groupBy("sig").agg(F.min(F.struct("kid", "th")).alias("first"))
+    chosen = as_table(first.join(parts, F.col("sig") == F.col("node")).select("component", "sig", "first.*"), "ngram-chosen")
+    texts = key_filter(chosen, own).join(chosen, ["kid", "th"]).select("component", "sig", "text")
+    ordered = texts.repartition("component").sortWithinPartitions("component", "sig")
     pairs = ordered.mapInArrow(lambda batches: _search(batches, n, theta), "u long, v long, overlap int, jaccard double")
     return classes, pairs
 
@@ -313,12 +361,12 @@ def _class_pairs(docs: DataFrame, n: int, theta: float, id_col: str, text_col: s
 def join(docs: DataFrame, n: int = N, theta: float = THETA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_a, doc_b, jaccard (6 decimals): pairs of representatives, and each other document of a class with its representative (1.0). doc_a is the lesser."""
     classes, pairs = _class_pairs(docs, n, theta, id_col, text_col)
-    order = Window.partitionBy("sig").orderBy("id", "th")
-    first = classes.groupBy("sig").agg(F.min(F.struct("id", "th")).alias("f"))
+    order = Window.partitionBy("sig").orderBy("kid", "th")
+    first = classes.groupBy("sig").agg(F.min(F.struct("kid", "th")).alias("f"))
     named = pairs.join(first.select(F.col("sig").alias("u"), F.col("f").alias("fu")), "u").join(first.select(F.col("sig").alias("v"), F.col("f").alias("fv")), "v")
-    named = named.select(F.least("fu", "fv")["id"].alias("doc_a"), F.greatest("fu", "fv")["id"].alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
-    copies = classes.withColumn("k", F.row_number().over(order)).where("k > 1").join(first, "sig").select(F.col("f.id").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return named.union(copies)
+    named = named.select(F.least("fu", "fv")["kid"].alias("a"), F.greatest("fu", "fv")["kid"].alias("b"), F.round("jaccard", 6).alias("jaccard"))
+    copies = classes.withColumn("k", F.row_number().over(order)).where("k > 1").join(first, "sig").select(F.col("f.kid").alias("a"), F.col("kid").alias("b"), F.lit(1.0).alias("jaccard"))
+    return named.union(copies).select(as_id(F.col("a")).alias("doc_a"), as_id(F.col("b")).alias("doc_b"), "jaccard")
 
 
 def keep_one(docs: DataFrame, n: int = N, theta: float = THETA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,12 +374,11 @@ def keep_one(docs: DataFrame, n: int = N, theta: float = THETA, id_col: str = "d
     classes, pairs = _class_pairs(docs, n, theta, id_col, text_col)
     parts = components(as_table(pairs.select("u", "v"), "ngram-pairs"))
     grouped = classes.join(parts, F.col("sig") == F.col("node"), "left").withColumn("part", F.coalesce("component", "sig"))
-    best = grouped.groupBy("part").agg(F.min(F.struct("id", "th")).alias("best"), F.count("*").alias("size")).where("size > 1")
-    gone = grouped.join(best, "part").groupBy(F.col("id").alias("gid"), F.col("th").alias("gth")).agg(F.min(F.when(F.struct("id", "th") == F.col("best"), 1).otherwise(0)).alias("first"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text_col).alias("th"))
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "th").orderBy("id")))
-    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left").where("first is null or (first = 1 and copy = 1)")
-    return rows.select("row.*")
+    best = grouped.groupBy("part").agg(F.min(F.struct("kid", "th")).alias("best"), F.count("*").alias("size")).where("size > 1")
+    gone = grouped.join(best, "part").groupBy("kid", "th").agg(F.max(F.struct("kid", "th") == F.col("best")).alias("first"))
+    rows = identified(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).drop("text")
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("kid", "th").orderBy("kid")))
+    return rows.join(gone, ["kid", "th"], "left").where("first is null or (first and copy = 1)").select("row.*")
 
 
 SQL = f"""
