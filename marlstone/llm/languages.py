@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_pieces
+from .common import in_pieces, slices
 
 SAMPLE = 300
 PENALTY = 6.0
@@ -206,7 +206,7 @@ def spans(docs: DataFrame, model: Model, penalty: float = PENALTY, id_col: str =
 
     def run(batches):
         m = Model(*shared.value)
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             for i, j in in_pieces(texts):
                 yield _span_rows(b.column(0).slice(i, j - i), texts[i:j], m, penalty)
@@ -220,7 +220,7 @@ def keep_known(docs: DataFrame, model: Model, penalty: float = PENALTY, least_sh
 
     def run(batches):
         m = Model(*shared.value)
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(text_col).to_pylist()]
             keep = np.zeros(len(texts), bool)
             for i, j in in_pieces(texts):

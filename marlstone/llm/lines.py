@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_table, identified, key_filter, mix
+from .common import as_table, identified, key_filter, mix, slices
 
 LEAST_CHARS = 16
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -65,7 +65,7 @@ def variant_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _emit(batches):
-    for b in batches:
+    for b in slices(batches):
         texts = b.column("line").to_pylist()
         begin = size = 0
         for i, t in enumerate([*texts, None]):
@@ -110,7 +110,7 @@ def near_earlier(lines: DataFrame, firsts: DataFrame, own: DataFrame, least_char
 
 
 def _cut(batches, text_col: str):
-    for b in batches:
+    for b in slices(batches, 256):
         row = b.column("row")
         texts, drops, copies = row.field(text_col).to_pylist(), b.column("drops").to_pylist(), b.column("copy").to_pylist()
         out, gone, stays = [], [], []

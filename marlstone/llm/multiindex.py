@@ -51,7 +51,7 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarr
     return centres
 
 
-def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, least: int) -> list[tuple[int, int]]:
+def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, least: int) -> list[tuple]:
     """Cells in ascending order of first[i] + second[j] until they hold `least` entries, or all cells."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     x, y = first[a].tolist(), second[b].tolist()

@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SAMPLE = 1500
 WINDOW = 10
 GAIN = 2
@@ -140,7 +142,7 @@ def score(docs: DataFrame, judge: Judge | None, id_col: str = "doc_id", text_col
 
     def run(batches):
         own = shared.value
-        for b in batches:
+        for b in slices(batches):
             found = [own.score(t) if own else (0.0, 0, 0) for t in b.column(1).to_pylist()]
             scores, hits, n = zip(*found) if found else ((), (), ())
             toxic = [own is not None and s > own.threshold for s in scores]
