@@ -8,9 +8,10 @@ of its two centroids. A query's distance to a cell is the sum of its halves' squ
 2. The walk goes on to the last cell whose sum is at most that distance plus `slack`; where the walk stops is all that matters here, so cells
    are compared with the bound all at once. Their entries are reranked too, and the k nearest of all are the answer.
 
-`slack` is what a neighbour's cell is farther off than the neighbour: the QUANTILE of that difference between vectors of a bounded sample and
-their nearest in it, k of each. So recall follows QUANTILE whether vectors cluster (few cells are passed) or not (most are). The codebooks are trained on
-the same sample (SAMPLE rows, those of least hashed id). K grows with the fourth root of the number of vectors, to MOST_K, so the table of cell sizes stays broadcastable.
+`slack` is what a neighbour's cell is farther off than the neighbour: the QUANTILE of that difference between QUERIES vectors and their k nearest in
+the whole table, found by one exact scan. So recall follows QUANTILE whether vectors cluster (few cells are passed) or not (most are), and however large the table is. The
+codebooks are trained on a bounded sample (SAMPLE rows, those of least hashed id); the QUERIES are the rows that follow it, or its last in a table no larger, as
+vectors that the codebooks were trained on are nearer to them than others. K grows with the fourth root of the number of vectors, to MOST_K, so the table of cell sizes stays broadcastable.
 
 Entries lie in groups of whole rows of cells; a query is sent only to groups where it passes a cell. Defined cases: see vectors.py for rows that take no part; a
 row is not its own neighbour; with fewer than k others all entries passed are answers; ties go to the lower id; an empty
@@ -27,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_table
+from .common import as_table, slices
 from .vectors import block_join, checked, matrix, squares, top
 
 K = 10
 SAMPLE = 8192
+QUERIES = 1024
 QUANTILE = 0.97
 LEAST = 20
 MOST_K = 1024
@@ -70,20 +72,12 @@ def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, least: int) -
 
 
 class Index:
-    """Two codebooks, the sizes of the cells and the slack."""
+    """Two codebooks."""
 
-    def __init__(self, sample: np.ndarray, n: int, k: int):
+    def __init__(self, sample: np.ndarray, n: int):
         self.half = sample.shape[1] // 2
         wanted = min(MOST_K, max(1, 2 ** round(math.log2(max(1.0, math.sqrt(n / 12))))))
         self.books = [codebook(sample[:, : self.half], wanted), codebook(sample[:, self.half :], wanted)]
-        some = sample[:1024]
-        d = squares(some, sample)
-        d[np.arange(len(some)), np.arange(len(some))] = np.inf
-        nearest = top(d, min(k, len(sample) - 1))
-        i, j = self.cells(sample)
-        to = self.sums(some)
-        further = to[0][np.arange(len(some))[:, None], i[nearest]] + to[1][np.arange(len(some))[:, None], j[nearest]] - np.take_along_axis(d, nearest, 1)
-        self.slack = float(np.quantile(further, QUANTILE)) if further.size else math.inf
 
     def sums(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return squares(x[:, : self.half], self.books[0]), squares(x[:, self.half :], self.books[1])
@@ -93,6 +87,34 @@ class Index:
         return a.argmin(1), b.argmin(1)
 
 
+def fitted_slack(entries: DataFrame, index, queries: np.ndarray, own: np.ndarray, k: int) -> float:
+    """The QUANTILE of (sum of a neighbour's cell - squared distance) over the k nearest entries of each query, all entries being compared. index is
+    a broadcast Index."""
+    shared = entries.sparkSession.sparkContext.broadcast((queries, own))
+
+    def scan(batches):
+        y, own = shared.value
+        a, c = index.value.sums(y)
+        rows = np.arange(len(y))[:, None]
+        best_d, best_x, best_s = np.full((len(y), 0), np.inf), np.zeros((len(y), 0), np.int64), np.zeros((len(y), 0))
+        for b in slices(batches, STEP):
+            ids = b.column("id").to_numpy()
+            x = matrix(b.column("vec"), np.float32, y.shape[1]).astype(np.float64)
+            d = squares(y, x)
+            d[own[:, None] == ids[None]] = np.inf
+            pick = top(d, k)
+            cells = a[rows, b.column("i").to_numpy()[pick]] + c[rows, b.column("j").to_numpy()[pick]]
+            best_d, best_x, best_s = np.concatenate([best_d, d[rows, pick]], 1), np.concatenate([best_x, ids[pick]], 1), np.concatenate([best_s, cells], 1)
+            pick = top(best_d, k)
+            best_d, best_x, best_s = best_d[rows, pick], best_x[rows, pick], best_s[rows, pick]
+        q, at = np.nonzero(np.isfinite(best_d))
+        yield pa.record_batch([pa.array(q), pa.array(best_x[q, at]), pa.array(best_d[q, at]), pa.array(best_s[q, at] - best_d[q, at])], names=["q", "x", "d2", "further"])
+
+    found = entries.mapInArrow(scan, "q long, x long, d2 double, further double").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d2", "x")))
+    further = [r.further for r in found.where(F.col("rank") <= k).select("further").collect()]  # at most QUERIES * k numbers
+    return float(np.quantile(further, QUANTILE)) if further else math.inf
+
+
 def neighbours(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """vec_id, rank (from 1), neighbour, distance (6 decimals)."""
     spark = table.sparkSession
@@ -104,8 +126,8 @@ def neighbours(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col:
     n = vectors.count()
     if n < 2:
         return spark.createDataFrame([], result)
-    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    index = Index(np.array([np.frombuffer(r.vec, np.float32) for r in picked], np.float64), n, k)
+    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + QUERIES).collect()
+    index = Index(np.array([np.frombuffer(r.vec, np.float32) for r in picked[:SAMPLE]], np.float64), n)
     rows_of_cells = len(index.books[0])
     shared = spark.sparkContext.broadcast(index)
 
@@ -115,6 +137,8 @@ def neighbours(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col:
             yield pa.record_batch([b.column(0), b.column(1), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))], names=["id", "vec", "i", "j"])
 
     entries = as_table(vectors.mapInArrow(assign, "id long, vec binary, i int, j int"), "imi-entries")
+    asked = picked[-QUERIES:]
+    slack = fitted_slack(entries, shared, np.array([np.frombuffer(r.vec, np.float32) for r in asked], np.float64), np.array([r.id for r in asked], np.int64), k)
     sizes = np.zeros((rows_of_cells, len(index.books[1])), np.int64)
     for r in entries.groupBy("i", "j").count().collect():
         sizes[r.i, r.j] = r["count"]
@@ -218,6 +242,6 @@ def neighbours(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col:
 
     one = as_table(round_of(entries.select("id", "vec", F.lit(None).cast("double").alias("lim"))), "imi-first")
     bound = one.groupBy(F.col("q").alias("id")).agg(F.when(F.count("*") >= k, F.max("d2")).otherwise(F.lit(float("inf"))).alias("d"))
-    bounded = entries.select("id", "vec").join(bound, "id", "left").select("id", "vec", (F.coalesce("d", F.lit(float("inf"))) + F.lit(index.slack)).alias("lim"))
+    bounded = entries.select("id", "vec").join(bound, "id", "left").select("id", "vec", (F.coalesce("d", F.lit(float("inf"))) + F.lit(slack)).alias("lim"))
     two = round_of(bounded, one)
     return two.select(F.col("q").alias("vec_id"), F.col("rank").cast("int").alias("rank"), F.col("x").alias("neighbour"), F.round(F.sqrt("d2"), 6).alias("distance"))

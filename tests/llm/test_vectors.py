@@ -42,6 +42,20 @@ def test_multi_index_recall(spark, x):
     assert np.mean([len(found[i] & set(order[i])) for i in range(len(x))]) >= 9.0
 
 
+def test_multi_index_recall_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(multiindex, "SAMPLE", 512)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(20, 8))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = (centres[r.integers(0, 20, 20_000)] + r.normal(size=(20_000, 8)) * 0.1).astype(np.float32)
+    got = multiindex.neighbours(frame(spark, x), 10).where("vec_id < 400").toPandas()
+    d = ((x[:400, None].astype(np.float64) - x[None]) ** 2).sum(2)
+    d[np.arange(400), np.arange(400)] = np.inf
+    order = np.argsort(d, axis=1)[:, :10]
+    found = got.groupby("vec_id").neighbour.apply(set)
+    assert np.mean([len(found[i] & set(order[i])) for i in range(400)]) >= 9.8
+
+
 def test_walk_ascends_and_covers():
     r = np.random.default_rng(0)
     a, b = r.random(7), r.random(5)
