@@ -369,6 +369,18 @@ def join(docs: DataFrame, n: int = N, theta: float = THETA, id_col: str = "doc_i
     return named.union(copies).select(as_id(F.col("a")).alias("doc_a"), as_id(F.col("b")).alias("doc_b"), "jaccard")
 
 
+def all_pairs(docs: DataFrame, n: int = N, theta: float = THETA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_a, doc_b, jaccard (6 decimals): every pair of similar documents, those of all members of both classes and those within a class. doc_a is the
+    lesser. The output grows with the product of the classes' sizes."""
+    classes, pairs = _class_pairs(docs, n, theta, id_col, text_col)
+    placed = classes.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("kid", "th")))
+    left, right = (placed.select(F.col("sig").alias(s), F.struct("kid", "th").alias(f"f{s}"), F.col("k").alias(f"k{s}")) for s in ("u", "v"))
+    near = pairs.select("u", "v", F.round("jaccard", 6).alias("jaccard")).join(left, "u").join(right, "v")
+    same = left.join(right.withColumnRenamed("v", "u"), "u").where("ku < kv").withColumn("jaccard", F.lit(1.0))
+    named = near.select("fu", "fv", "jaccard").union(same.select("fu", "fv", "jaccard"))
+    return named.select(as_id(F.least("fu", "fv")["kid"]).alias("doc_a"), as_id(F.greatest("fu", "fv")["kid"]).alias("doc_b"), "jaccard")
+
+
 def keep_one(docs: DataFrame, n: int = N, theta: float = THETA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those of a group (documents connected by pairs) but for its least. Documents without grams stay."""
     classes, pairs = _class_pairs(docs, n, theta, id_col, text_col)
@@ -399,3 +411,17 @@ WITH w AS (
 SELECT doc_a, doc_b, round(o / (na + nb - o), 6) AS jaccard FROM p WHERE o >= ceil({THETA} / (1 + {THETA}) * (na + nb) - 1e-9)
 UNION ALL SELECT first, doc_id, 1.0 FROM c WHERE doc_id <> first
 """
+
+ALL_SQL = f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents WHERE text IS NOT NULL
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN ws ELSE [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))] END) AS gram FROM w WHERE len(ws) > 0
+), r AS (
+  SELECT doc_id, gram, count(*) OVER (PARTITION BY doc_id) AS n FROM g
+), p AS (
+  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM r a JOIN r b ON a.gram = b.gram AND a.doc_id < b.doc_id AND least(a.n, b.n) >= {THETA} * greatest(a.n, b.n) - 1e-9 GROUP BY ALL
+)
+SELECT doc_a, doc_b, round(o / (na + nb - o), 6) AS jaccard FROM p WHERE o >= ceil({THETA} / (1 + {THETA}) * (na + nb) - 1e-9)
+"""

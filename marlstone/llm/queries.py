@@ -53,9 +53,22 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def all_ngram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.all_pairs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_reply_trees": replies.SQL, "op4_url_filters": urls.SQL, "op5_line_dedup": lines.SQL, "op6_va_file": vafile.SQL, "op7_ngram_jaccard": ngrams.SQL, "op9_source_mix": mixing.SQL}
+
+
+def whole_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The full results of operators whose query above returns a chosen part."""
+    return {"op7_ngram_jaccard_all": all_ngram_pairs}
+
+
+def whole_sql() -> dict[str, str]:
+    return {"op7_ngram_jaccard_all": ngrams.ALL_SQL}

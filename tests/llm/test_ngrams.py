@@ -51,6 +51,16 @@ def test_join_against_brute_force(spark):
     assert {(r.doc_a, r.doc_b): r.jaccard for r in ngrams.join(df).collect()} == brute(docs)
 
 
+def test_all_pairs_against_brute_force(spark):
+    docs = corpus()
+    docs += [(len(docs) + i, t) for i, t in docs[::3]]
+    sets = {i: grams(t) for i, t in docs if grams(t)}
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= (ngrams.THETA - 1e-9) * len(sets[a] | sets[b])}
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], SCHEMA)
+    got = [((r.doc_a, r.doc_b), r.jaccard) for r in ngrams.all_pairs(df).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
 def test_keep_one_against_brute_force(spark):
     docs = corpus(8)
     up = {i: i for i, _ in docs}
