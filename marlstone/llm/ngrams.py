@@ -165,7 +165,7 @@ PAIRS = "part int, u binary, nu binary, many binary, v binary, nv binary, at bin
 
 def _bucket_pairs(batches, theta: float, parts: int):
     """Per pair of documents of one bucket that are of fitting sizes, the number of short lists that hold both: one row for each part of the lesser
-    names, with its documents (name, size, how many partners), a table of their partners, and for each pair the partner's place in it and the hits."""
+    names, with its documents (name, size, how many partners), a table of their partners, and for each pair the partner's place in it and the hits (two bytes each, or four where a number needs them)."""
     held: list[list[np.ndarray]] = [[], [], [], []]
     for b in batches:
         for bucket, *row in zip(b.column(0).to_pylist(), *(b.column(c) for c in (1, 2, 3, 4))):
@@ -212,14 +212,14 @@ def _bucket_pairs(batches, theta: float, parts: int):
         head, many = _runs(a[s])
         u = a[s][head]
         v, at = np.unique(b[s], return_inverse=True)
-        columns = (names[u], n[u].astype(np.int32), many.astype(np.int32), names[v], n[v].astype(np.int32), at.astype(np.uint32), np.minimum(hits[s], 65535).astype(np.uint16))
+        columns = (names[u], n[u].astype(np.int32), many.astype(np.int32), names[v], n[v].astype(np.int32), at.astype(np.uint32), hits[s].astype(np.uint16 if hits[s].max() < 1 << 16 else np.uint32))
         yield pa.record_batch([pa.array([k], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=["part", "u", "nu", "many", "v", "nv", "at", "hits"])
 
 
 def _likely_pairs(batches, theta: float):
     """A spanning forest of the pairs whose hits in all buckets reach T - L. A part is a few of all names, so its pairs are summed in memory."""
-    kinds = (np.uint64, np.int32, np.int32, np.uint64, np.int32, np.uint32, np.uint16)
-    rows = [[np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, kinds)] for b in batches for row in zip(*(b.column(c) for c in range(1, 8)))]
+    kinds = (np.uint64, np.int32, np.int32, np.uint64, np.int32, np.uint32)
+    rows = [[*(np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, kinds)), row[6].as_buffer()] for b in batches for row in zip(*(b.column(c) for c in range(1, 8)))]
     if not rows:
         return
     names, first = np.unique(np.concatenate([x for r in rows for x in (r[0], r[3])]), return_index=True)
@@ -227,7 +227,8 @@ def _likely_pairs(batches, theta: float):
     counts: list[tuple[np.ndarray, np.ndarray]] = []
     for u, _, many, v, _, at, hits in rows:
         keys = np.repeat(np.searchsorted(names, u), many) * len(names) + np.searchsorted(names, v)[at]
-        counts.append((keys, hits.astype(np.int64)))
+        kind = np.uint16 if hits.size == 2 * len(at) else np.uint32
+        counts.append((keys, np.frombuffer(hits, kind).astype(np.int64)))
         if sum(len(k) for k, _ in counts[1:]) > max(1 << 20, len(counts[0][0])):
             counts = [_add(np.concatenate([k for k, _ in counts]), np.concatenate([c for _, c in counts]))]
     keys, hits = _add(np.concatenate([k for k, _ in counts]), np.concatenate([c for _, c in counts]))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from marlstone.llm import ngrams
 
@@ -99,6 +100,14 @@ def test_pair_hits_of_long_lists():
     assert len(pairs) == len(set(pairs)) == 2100 * 2099 // 2 + 3
 
 
+def test_hits_beyond_two_bytes():
+    shared = np.arange(70_000, dtype=np.uint32)
+    raw = [x.tobytes() for x in (np.array([5, 9], np.uint64), np.full(2, 450_000, np.int32), np.full(2, 70_000, np.int32), np.tile(shared, 2))]
+    row = pa.record_batch([pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in raw)], names=["bucket", "docs", "sizes", "lengths", "grams"])
+    likely = list(ngrams._likely_pairs(ngrams._bucket_pairs([row], ngrams.THETA, 12), ngrams.THETA))
+    assert [(r["u"], r["v"]) for b in likely for r in b.to_pylist()] == [(9, 5)]
+
+
 def test_edges(spark):
     text = "one two three four five six"
     rows = [(None, text), (1, None), (2, ""), (3, "!!! ..."), (4, text), (4, text), (5, "word"), (6, "Word!"), (7, " ".join(map(str, range(60_000))))]
