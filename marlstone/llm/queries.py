@@ -53,6 +53,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def all_reply_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies.conversations(replies.threads(table(spark, sf_dir, "conversations")), top=None)
+
+
 def all_ngram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.all_pairs(table(spark, sf_dir, "documents"))
 
@@ -67,8 +71,8 @@ def oracle_sql() -> dict[str, str]:
 
 def whole_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The full results of operators whose query above returns a chosen part."""
-    return {"op7_ngram_jaccard_all": all_ngram_pairs}
+    return {"op3_reply_trees_all": all_reply_branches, "op7_ngram_jaccard_all": all_ngram_pairs}
 
 
 def whole_sql() -> dict[str, str]:
-    return {"op7_ngram_jaccard_all": ngrams.ALL_SQL}
+    return {"op3_reply_trees_all": replies.ALL_SQL, "op7_ngram_jaccard_all": ngrams.ALL_SQL}

@@ -85,3 +85,5 @@ WITH RECURSIVE n AS (
 )
 SELECT tree, CAST(rank AS INTEGER) AS rank, leaf, CAST(depth AS INTEGER) AS depth, score, conversation FROM r WHERE rank <= {TOP}
 """
+
+ALL_SQL = SQL.replace(f" WHERE rank <= {TOP}", "")
