@@ -9,26 +9,32 @@ that occur in at least T - L of them; the long lists are probed for just those b
 1. A sketch of fixed size counts in how many documents the grams occur. It gives all grams one order, rare first. Any order gives the right result;
    a good one keeps passages that many documents share out of the short lists.
 2. Each document sends its short lists' postings (all but its ceil(THETA * n) - 1 commonest grams) to buckets of grams. Each bucket merges
-   its lists; the occurrences of a pair, summed over buckets, must reach T - L. All pairs of documents are covered.
+   its lists; the occurrences of a pair, summed over buckets, must reach T - L. All pairs of documents are covered. Of those that reach it only a
+   spanning forest goes on.
 3. The surviving pairs' connected components are separate small corpora. In each, every document is a query: DivideSkip runs
-   over the component's full inverted lists, and what it retains is the result. Counts there are those of the grams themselves.
+   over the component's full inverted lists, and what it retains is the result. Counts there are those of the grams themselves. A component of more
+   than COMPONENT_GRAMS grams is cut into blocks, and every two blocks are searched by themselves.
 
-A merge of short lists is one stable sort of the concatenated lists by numpy, which merges runs, as a heap does entry by entry.
+Short lists are merged by `run_merge`, one stable sort of the concatenated lists, which merges their ascending runs; `heap_merge` does the same with a heap of list
+heads and gives the same result (tested), but takes many times as long (see README).
 
-Documents with equal sets are a class, named by a 64-bit hash of the set; its least (id, hash of the text) stands for it in pairs, and
-its other documents are paired with that one. So two documents are similar just if their representatives are the same or a pair.
+Documents with equal sets are a class, named by a 64-bit hash of the set; the search compares one of each class, and its partners count with all their copies.
+So no link is lost, and copies are never expanded into pairs but by `all_pairs`.
 
-Defined cases: a null or empty text, or one without words, has no grams and no partner. A null id is the least id. Repeated rows (equal id and text) pair
-with each other (equal ids). Extra columns are ignored by `join` and carried by `keep_one`, whatever their names. Ties: of a group the least (id, hash
+Defined cases: a null or empty text, or one without words, has no grams and no partner. A null id is the least id. Repeated rows (equal id and text) are
+linked to each other. Extra columns are ignored by `join` and carried by `keep_one`, whatever their names. Ties: of a group the least (id, hash
 of the text) stays. An empty table gives no rows. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +44,8 @@ N = 2
 THETA = 0.6
 SKETCH_BITS = 22
 CHUNKS = 64
+POSTINGS = 2_000_000  # of a bucket, about
+COMPONENT_GRAMS = 4_000_000  # that a search holds at most
 MU = 0.0085  # cost of a probe against a merge step, as in the published heuristic for L
 
 
@@ -160,31 +168,78 @@ def _add(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[head], np.add.reduceat(times, head) if len(head) else times
 
 
-PAIRS = "part int, u binary, nu binary, many binary, v binary, nv binary, at binary, hits binary"
+PAIRS = "part int, head binary, body binary"
+
+
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in arrays))
+
+
+def _pack_pairs(names: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, hits: np.ndarray) -> tuple[bytes, bytes]:
+    """Pairs of document numbers, ordered by (a, b), as a table of the documents and compressed columns: the steps from one partner to the next, and
+    the hits. Numbers take as many bytes as the largest needs."""
+    head, many = _runs(a)
+    u = a[head]
+    v, at = np.unique(b, return_inverse=True)
+    step = np.diff(at, prepend=0)
+    step[head] = at[head]
+    kinds = [next(k for k in (np.uint8, np.uint16, np.uint32) if not len(x) or x.max() <= np.iinfo(k).max) for x in (step, hits)]
+    table = [np.array([len(u), len(v), len(a), kinds[0]().itemsize, kinds[1]().itemsize], np.int64), names[u], names[v], n[u].astype(np.int32), n[v].astype(np.int32), many.astype(np.int32)]
+    return _packed(table), _packed([step.astype(kinds[0]), hits.astype(kinds[1])])
+
+
+def _unpack_pairs(head: bytes, body: bytes) -> tuple[np.ndarray, ...]:
+    """(names of the lesser, their sizes, how many partners each; names of partners, their sizes; each pair's place among the partners; hits)."""
+    raw = zstandard.ZstdDecompressor().decompress(head)
+    nu, nv, pairs, step_bytes, hit_bytes = np.frombuffer(raw, np.int64, 5).tolist()
+    at, out = 40, []
+    for kind, count in ((np.uint64, nu), (np.uint64, nv), (np.int32, nu), (np.int32, nv), (np.int32, nu)):
+        out.append(np.frombuffer(raw, kind, count, at))
+        at += out[-1].nbytes
+    u, v, n_u, n_v, many = out
+    kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    step = np.frombuffer(raw, kinds[step_bytes], pairs).astype(np.int64)
+    hits = np.frombuffer(raw, kinds[hit_bytes], pairs, pairs * step_bytes)
+    place = np.cumsum(step)
+    begin = np.cumsum(many) - many
+    place -= np.repeat((place - step)[begin] if pairs else place, many)
+    return u, n_u, many, v, n_v, place, hits
+
+
+def _by_key(batches):
+    """(key, rows of binary columns) of rows that come ordered by their first column."""
+    now, rows = None, []
+    for b in batches:
+        for key, *row in zip(b.column(0).to_pylist(), *b.columns[1:]):
+            if key != now and rows:
+                yield now, rows
+                rows = []
+            now = key
+            rows.append(row)
+    if rows:
+        yield now, rows
 
 
 def _bucket_pairs(batches, theta: float, parts: int):
     """Per pair of documents of one bucket that are of fitting sizes, the number of short lists that hold both: one row for each part of the lesser
-    names, with its documents (name, size, how many partners), a table of their partners, and for each pair the partner's place in it and the hits (two bytes each, or four where a number needs them)."""
-    held: list[list[np.ndarray]] = [[], [], [], []]
-    for b in batches:
-        for bucket, *row in zip(b.column(0).to_pylist(), *(b.column(c) for c in (1, 2, 3, 4))):
-            docs, sizes, lengths, grams = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.uint64, np.int32, np.int32, np.uint32)))
-            for out, x in zip(held, (docs, sizes, lengths, grams.astype(np.uint64) | np.uint64(bucket << 32))):
-                out.append(x)
-    if not held[0]:
-        return
-    docs, sizes, lengths, grams = (np.concatenate(x) for x in held)
+    names. One bucket is in memory at a time."""
+    for _, rows in _by_key(batches):
+        docs, sizes, lengths, grams = (np.concatenate([np.frombuffer(r[k].as_buffer(), kind) for r in rows]) for k, kind in enumerate((np.uint64, np.int32, np.int32, np.uint32)))
+        yield from _pairs_of_bucket(docs, sizes, lengths, grams, theta, parts)
+
+
+def _pairs_of_bucket(docs, sizes, lengths, grams, theta: float, parts: int):
     names, first, number = np.unique(docs, return_index=True, return_inverse=True)
     n = sizes[first].astype(np.int64)
     owner = np.repeat(number.astype(np.int32), lengths)
-    del docs, sizes, lengths, held
-    order = np.lexsort((owner, grams))
-    grams, owner = grams[order], owner[order]
-    del order
-    keep = np.ones(len(grams), bool)
-    keep[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])  # copies have the same name
-    grams, owner = grams[keep], owner[keep].astype(np.int64)
+    del docs, sizes, lengths, number
+    both = np.sort(grams.astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64))
+    keep = np.ones(len(both), bool)
+    keep[1:] = both[1:] != both[:-1]  # copies have the same name
+    both = both[keep]
+    grams, owner = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int32)
+    del both, keep
     counts: list[tuple[np.ndarray, np.ndarray]] = []
     waiting: list[np.ndarray] = []
     size = 0
@@ -197,60 +252,64 @@ def _bucket_pairs(batches, theta: float, parts: int):
 
     for a, b in _pair_hits(grams, owner):
         fit = np.minimum(n[a], n[b]) >= theta * np.maximum(n[a], n[b]) - 1e-9
-        waiting.append(np.minimum(a, b)[fit] * len(names) + np.maximum(a, b)[fit])
-        size += len(waiting[-1])
-        if size > max(1 << 21, 2 * sum(len(k) for k, _ in counts)):
+        a, b = a[fit].astype(np.int64), b[fit].astype(np.int64)
+        waiting.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
+        size += len(a)
+        if size > max(1 << 20, 2 * sum(len(k) for k, _ in counts)):
             counts, waiting, size = [settle()], [], 0
     keys, hits = settle()
     a, b = keys // len(names), keys % len(names)
     part = ((names[a] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # ascending, as a is
     edge = np.searchsorted(part, np.arange(parts + 1))
-    for k in range(parts):
-        s = slice(edge[k], edge[k + 1])
-        if edge[k] == edge[k + 1]:
-            continue
-        head, many = _runs(a[s])
-        u = a[s][head]
-        v, at = np.unique(b[s], return_inverse=True)
-        columns = (names[u], n[u].astype(np.int32), many.astype(np.int32), names[v], n[v].astype(np.int32), at.astype(np.uint32), hits[s].astype(np.uint16 if hits[s].max() < 1 << 16 else np.uint32))
-        yield pa.record_batch([pa.array([k], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=["part", "u", "nu", "many", "v", "nv", "at", "hits"])
+    used = [k for k in range(parts) if edge[k] < edge[k + 1]]
+    packed = [_pack_pairs(names, n, a[s], b[s], hits[s]) for s in (slice(edge[k], edge[k + 1]) for k in used)]
+    yield pa.record_batch([pa.array(used, pa.int32()), pa.array([h for h, _ in packed], pa.binary()), pa.array([x for _, x in packed], pa.binary())], names=["part", "head", "body"])
 
 
 def _likely_pairs(batches, theta: float):
     """A spanning forest of the pairs whose hits in all buckets reach T - L. A part is a few of all names, so its pairs are summed in memory."""
-    kinds = (np.uint64, np.int32, np.int32, np.uint64, np.int32, np.uint32)
-    rows = [[*(np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, kinds)), row[6].as_buffer()] for b in batches for row in zip(*(b.column(c) for c in range(1, 8)))]
-    if not rows:
-        return
-    names, first = np.unique(np.concatenate([x for r in rows for x in (r[0], r[3])]), return_index=True)
-    n = np.concatenate([x for r in rows for x in (r[1], r[4])])[first].astype(np.int64)
-    counts: list[tuple[np.ndarray, np.ndarray]] = []
-    for u, _, many, v, _, at, hits in rows:
-        keys = np.repeat(np.searchsorted(names, u), many) * len(names) + np.searchsorted(names, v)[at]
-        kind = np.uint16 if hits.size == 2 * len(at) else np.uint32
-        counts.append((keys, np.frombuffer(hits, kind).astype(np.int64)))
-        if sum(len(k) for k, _ in counts[1:]) > max(1 << 20, len(counts[0][0])):
-            counts = [_add(np.concatenate([k for k, _ in counts]), np.concatenate([c for _, c in counts]))]
-    keys, hits = _add(np.concatenate([k for k, _ in counts]), np.concatenate([c for _, c in counts]))
-    a, b = keys // len(names), keys % len(names)
-    most_long = np.maximum(least_size(n[a], theta), least_size(n[b], theta)) - 1
-    ok = hits >= least_overlap(n[a], n[b], theta) - most_long
-    edges = forest(np.stack([names[a[ok]].view(np.int64), names[b[ok]].view(np.int64)], axis=1))
-    yield pa.record_batch({"u": edges[:, 0], "v": edges[:, 1]})
-
-
-def divide_skip(sets: list[np.ndarray], theta: float, mu: float = MU):
-    """All pairs (i, j, overlap) of ascending arrays of distinct grams with Jaccard similarity of at least theta."""
+    for _, packed in _by_key(batches):
+        rows = [_unpack_pairs(*(x.as_py() for x in r)) for r in packed]
+        names, first = np.unique(np.concatenate([x for r in rows for x in (r[0], r[3])]), return_index=True)
+        n = np.concatenate([x for r in rows for x in (r[1], r[4])])[first].astype(np.int64)
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
+        for u, _, many, v, _, at, hits in rows:
+            counts.append((np.repeat(np.searchsorted(names, u), many) * len(names) + np.searchsorted(names, v)[at], hits.astype(np.int64)))
+            if sum(len(k) for k, _ in counts[1:]) > max(1 << 20, len(counts[0][0])):
+                counts = [_add(np.concatenate([k for k, _ in counts]), np.concatenate([c for _, c in counts]))]
+        keys, hits = _add(np.concatenate([k for k, _ in counts]), np.concatenate([c for _, c in counts]))
+        a, b = keys // len(names), keys % len(names)
+        most_long = np.maximum(least_size(n[a], theta), least_size(n[b], theta)) - 1
+        ok = hits >= least_overlap(n[a], n[b], theta) - most_long
+        edges = forest(np.stack([names[a[ok]].view(np.int64), names[b[ok]].view(np.int64)], axis=1))
+        yield pa.record_batch({"u": edges[:, 0], "v": edges[:, 1]})
+
+
+def heap_merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, in how many lists each is) of ascending lists, by a heap of list heads."""
+    merged = np.fromiter(heapq.merge(*(x.tolist() for x in lists)), np.int64)
+    head, times = _runs(merged)
+    return merged[head], times
+
+
+def run_merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The same by a stable sort of the concatenated lists, which merges their ascending runs."""
+    merged = np.sort(np.concatenate(lists), kind="stable")
+    head, times = _runs(merged)
+    return merged[head].astype(np.int64), times
+
+
+def divide_skip(sets: list[np.ndarray], theta: float, mu: float = MU, block: np.ndarray | None = None, merge: Callable = run_merge):
+    """All pairs (i, j, overlap) of ascending arrays of distinct grams with Jaccard similarity of at least theta, of different blocks if these are given."""
     sizes = np.array([len(s) for s in sets])
     rank = np.argsort(sizes, kind="stable")  # a query looks for documents before it in this order
-    place = np.empty(len(sets), np.int64)
-    place[rank] = np.arange(len(sets))
     grams = np.concatenate([sets[k] for k in rank])
     owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes[rank])
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
     names, start, length = np.unique(grams, return_index=True, return_counts=True)
     ordered = sizes[rank]
+    blocks = None if block is None else np.asarray(block)[rank]
     for q in range(1, len(sets)):
         own = sets[rank[q]]
         n = len(own)
@@ -265,12 +324,10 @@ def divide_skip(sets: list[np.ndarray], theta: float, mu: float = MU):
         longest = int(length[by_length[-1]])
         skip = min(least - 1, int(least / (mu * math.log2(max(2, longest)) + 1)))
         short, long = by_length[: n - skip], by_length[n - skip :]
-        size = length[short]
-        at = np.repeat(start[short] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        merged = np.sort(owner[at], kind="stable")
-        head = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
-        found, count = merged[head].astype(np.int64), np.diff(np.append(head, len(merged)))
+        found, count = merge([owner[start[k] : start[k] + length[k]] for k in short])
         ok = (found >= low) & (found < q)
+        if blocks is not None:
+            ok &= blocks[found] != blocks[q]
         found, count = found[ok], count[ok]
         need = least_overlap(n, ordered[found], theta)
         ok = count + skip >= need
@@ -288,53 +345,80 @@ def divide_skip(sets: list[np.ndarray], theta: float, mu: float = MU):
             yield int(rank[q]), int(rank[f]), c
 
 
-def _search(batches, n: int, theta: float):
-    """Rows come ordered by component; a component's documents are searched when the next one begins."""
-    held_sig, held_set, now = [], [], None
+FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("overlap", pa.int32()), ("jaccard", pa.float64())])
+LINKED = pa.schema([("sig", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+
+
+def _pairs_found(sigs, sets, sizes, blocks, weights, theta: float):
+    rows = [(min(sigs[i], sigs[j]), max(sigs[i], sigs[j]), c, c / (len(sets[i]) + len(sets[j]) - c)) for i, j, c in divide_skip(sets, theta, block=blocks)]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), FOUND.types)], schema=FOUND)
+
+
+def _links_found(sigs, sets, sizes, blocks, weights, theta: float):
+    """Per document with partners here: the least one that it is connected to here, and how many documents (copies counted) it is similar to."""
+    links, edges = np.zeros(len(sigs), np.int64), []
+    for i, j, _ in divide_skip(sets, theta, block=blocks):
+        links[i] += weights[j]
+        links[j] += weights[i]
+        edges.append((i, j))
+        if len(edges) > 1 << 16:
+            edges = list(map(tuple, forest(np.array(edges)).tolist()))
+    if edges:
+        root = np.arange(len(sigs))
+        least = forest(np.array(edges, np.int64))
+        root[least[:, 0]] = least[:, 1]
+        at = np.flatnonzero(links)
+        names = np.array(sigs, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[root[at]]), pa.array(links[at])], schema=LINKED)
+
+
+def _search(batches, n: int, theta: float, report: Callable):
+    """Rows (component, i, j, sig, block, weight, text) come ordered by (component, i, j, sig): the documents of two blocks, or of one if i = j, of a component. They are
+    searched when the next such group begins."""
+    now, sigs, sets, blocks, weights = None, [], [], [], []
 
     def flush():
-        out = [(held_sig[i], held_sig[j], c, len(held_set[i]), len(held_set[j])) for i, j, c in divide_skip(held_set, theta)] if len(held_set) > 1 else []
-        return [(min(a, b), max(a, b), c, c / (x + y - c)) for a, b, c, x, y in out]
+        if len(sets) > 1:
+            yield from report(sigs, sets, None, blocks if now[1] != now[2] else None, weights, theta)
 
-    rows: list = []
-    for b, i, j, texts in _pieces_of(batches, 2):
+    for b, i, j, texts in _pieces_of(batches, 6):
         grams, sizes, _ = gram_sets(texts, n)
         stop = np.cumsum(sizes)
-        for part, sig, lo, hi in zip(b.column(0).slice(i, j - i).to_pylist(), b.column(1).slice(i, j - i).to_pylist(), stop - sizes, stop):
-            if part != now:
-                rows += flush()
-                held_sig, held_set, now = [], [], part
-            if held_sig and held_sig[-1] == sig:  # a repeated row
+        for *key, sig, block, weight, lo, hi in zip(*(b.column(c).slice(i, j - i).to_pylist() for c in range(6)), stop - sizes, stop):
+            if key != now:
+                yield from flush()
+                now, sigs, sets, blocks, weights = key, [], [], [], []
+            if sigs and sigs[-1] == sig:  # a repeated row
                 continue
-            held_sig.append(sig)
-            held_set.append(grams[lo:hi])
-        if len(rows) > 1 << 16:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=["u", "v", "overlap", "jaccard"])
-            rows = []
-    rows += flush()
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=["u", "v", "overlap", "jaccard"])
+            sigs.append(sig)
+            sets.append(grams[lo:hi])
+            blocks.append(block)
+            weights.append(weight)
+    if now is not None:
+        yield from flush()
 
 
 def _classes(own: DataFrame, n: int) -> DataFrame:
-    """kid, th, sig, of documents with grams."""
+    """kid, th, sig, n (grams) of every document; one without grams has a name of its own."""
 
     def run(batches):
         for b, i, j, texts in _pieces_of(batches, 2):
             _, sizes, sigs = gram_sets(texts, n)
-            out = pa.record_batch([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(sigs.view(np.int64))], names=["kid", "th", "sig"])
-            yield out.filter(pa.array(sizes > 0))
+            th = b.column(1).slice(i, j - i)
+            yield pa.record_batch([b.column(0).slice(i, j - i), th, pa.array(np.where(sizes > 0, sigs.view(np.int64), th.to_numpy())), pa.array(sizes, pa.int64())], names=["kid", "th", "sig", "n"])
 
-    return own.mapInArrow(run, "kid long, th long, sig long")
+    return own.mapInArrow(run, "kid long, th long, sig long, n long")
 
 
-def _class_pairs(docs: DataFrame, n: int, theta: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(documents: kid, th, sig; pairs of classes: u, v, overlap, jaccard)."""
+def _searched(docs: DataFrame, n: int, theta: float, id_col: str, text_col: str, report: Callable, schema: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: kid, th, sig, n; classes: sig, first, weight; what `report` says of the groups of classes that may be similar)."""
     own = identified(docs, id_col, text_col)
     spark = docs.sparkSession
-    classes = as_table(_classes(own, n), "ngram-classes")
+    documents = as_table(_classes(own, n), "ngram-classes")
     shared = spark.sparkContext.broadcast(document_sketch(own, n))
-    buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    short = documents.where("n > 0").agg(F.sum(F.col("n") - F.ceil(F.lit(theta) * F.col("n") - F.lit(1e-9)) + 1)).first()[0] or 0
+    buckets = max(12, math.ceil(short / POSTINGS))
 
     def emit(batches):
         held, size = [], 0
@@ -347,74 +431,62 @@ def _class_pairs(docs: DataFrame, n: int, theta: float, id_col: str, text_col: s
         if size:
             yield _posting_rows(held, buckets, theta, shared.value, SKETCH_BITS)
 
-    postings = own.select("text").mapInArrow(emit, "bucket int, docs binary, sizes binary, lengths binary, grams binary").repartition(buckets, "bucket")
-    hits = postings.mapInArrow(lambda batches: _bucket_pairs(batches, theta, buckets), PAIRS).repartition(buckets, "part")
+    postings = own.select("text").mapInArrow(emit, "bucket int, docs binary, sizes binary, lengths binary, grams binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    hits = postings.mapInArrow(lambda batches: _bucket_pairs(batches, theta, buckets), PAIRS).repartition(buckets, "part").sortWithinPartitions("part")
     likely = as_table(hits.mapInArrow(lambda batches: _likely_pairs(batches, theta), "u long, v long"), "ngram-candidates")
-    parts = components(likely)
-    first = classes.groupBy("sig").agg(F.min(F.struct("kid", "th")).alias("first"))
-    chosen = as_table(first.join(parts, F.col("sig") == F.col("node")).select("component", "sig", "first.*"), "ngram-chosen")
-    texts = key_filter(chosen, own).join(chosen, ["kid", "th"]).select("component", "sig", "text")
-    ordered = texts.repartition("component").sortWithinPartitions("component", "sig")
-    pairs = ordered.mapInArrow(lambda batches: _search(batches, n, theta), "u long, v long, overlap int, jaccard double")
-    return classes, pairs
+    classes = documents.where("n > 0").groupBy("sig").agg(F.min(F.struct("kid", "th")).alias("first"), F.count("*").alias("weight"), F.min("n").alias("n"))
+    chosen = as_table(classes.join(components(likely), F.col("sig") == F.col("node")).select("component", "sig", "first.*", "weight", "n"), "ngram-chosen")
+    # a component of more grams than a task should hold is cut into blocks, and every two blocks are searched by themselves
+    cut = chosen.groupBy("component").agg(F.sum("n").alias("grams")).where(F.col("grams") > COMPONENT_GRAMS).select("component", F.ceil(F.col("grams") * 2 / COMPONENT_GRAMS).cast("int").alias("k"))
+    placed = chosen.join(cut, "component", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("k")).cast("int"))
+    texts = key_filter(chosen, own).join(placed, ["kid", "th"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    texts = texts.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", "block", "weight", "text")
+    ordered = texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "sig")
+    return documents, classes.select("sig", "first", "weight"), ordered.mapInArrow(lambda batches: _search(batches, n, theta, report), schema)
+
+
+def _grouped(docs: DataFrame, n: int, theta: float, id_col: str, text_col: str) -> DataFrame:
+    """kid, th, best (the least document of the group), links, of every document."""
+    documents, classes, found = _searched(docs, n, theta, id_col, text_col, _links_found, "sig long, root long, links long")
+    found = as_table(found, "ngram-links")
+    linked = found.groupBy("sig").agg(F.sum("links").alias("links"))
+    named = classes.join(components(found.select(F.col("sig").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "sig"), "sig", "left").join(linked, "sig", "left")
+    named = as_table(named.where("weight > 1 or component is not null").select("sig", "first", "weight", "component", F.coalesce("links", F.lit(0)).alias("links")), "ngram-named")
+    best = named.where("component is not null").groupBy("component").agg(F.min("first").alias("best"))
+    named = named.join(best, "component", "left").select("sig", F.coalesce("best", "first").alias("best"), (F.col("links") + F.col("weight") - 1).alias("links"))
+    return documents.join(named, "sig", "left").select("kid", "th", F.coalesce("best", F.struct("kid", "th")).alias("best"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def join(docs: DataFrame, n: int = N, theta: float = THETA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_a, doc_b, jaccard (6 decimals): pairs of representatives, and each other document of a class with its representative (1.0). doc_a is the lesser."""
-    classes, pairs = _class_pairs(docs, n, theta, id_col, text_col)
-    order = Window.partitionBy("sig").orderBy("kid", "th")
-    first = classes.groupBy("sig").agg(F.min(F.struct("kid", "th")).alias("f"))
-    named = pairs.join(first.select(F.col("sig").alias("u"), F.col("f").alias("fu")), "u").join(first.select(F.col("sig").alias("v"), F.col("f").alias("fv")), "v")
-    named = named.select(F.least("fu", "fv")["kid"].alias("a"), F.greatest("fu", "fv")["kid"].alias("b"), F.round("jaccard", 6).alias("jaccard"))
-    copies = classes.withColumn("k", F.row_number().over(order)).where("k > 1").join(first, "sig").select(F.col("f.kid").alias("a"), F.col("kid").alias("b"), F.lit(1.0).alias("jaccard"))
-    return named.union(copies).select(as_id(F.col("a")).alias("doc_a"), as_id(F.col("b")).alias("doc_b"), "jaccard")
+    """doc_id, class_id, links of every document: links counts the other documents that it is similar to, copies included; class_id is the least id of
+    those connected to it by links, its own if there are none."""
+    return _grouped(docs, n, theta, id_col, text_col).select(as_id(F.col("kid")).alias("doc_id"), as_id(F.col("best.kid")).alias("class_id"), "links")
 
 
 def all_pairs(docs: DataFrame, n: int = N, theta: float = THETA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_a, doc_b, jaccard (6 decimals): every pair of similar documents, those of all members of both classes and those within a class. doc_a is the
     lesser. The output grows with the product of the classes' sizes."""
-    classes, pairs = _class_pairs(docs, n, theta, id_col, text_col)
-    placed = classes.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("kid", "th")))
+    documents, _, found = _searched(docs, n, theta, id_col, text_col, _pairs_found, "u long, v long, overlap int, jaccard double")
+    placed = documents.where("n > 0").withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("kid", "th")))
     left, right = (placed.select(F.col("sig").alias(s), F.struct("kid", "th").alias(f"f{s}"), F.col("k").alias(f"k{s}")) for s in ("u", "v"))
-    near = pairs.select("u", "v", F.round("jaccard", 6).alias("jaccard")).join(left, "u").join(right, "v")
+    near = found.select("u", "v", F.round("jaccard", 6).alias("jaccard")).join(left, "u").join(right, "v")
     same = left.join(right.withColumnRenamed("v", "u"), "u").where("ku < kv").withColumn("jaccard", F.lit(1.0))
     named = near.select("fu", "fv", "jaccard").union(same.select("fu", "fv", "jaccard"))
     return named.select(as_id(F.least("fu", "fv")["kid"]).alias("doc_a"), as_id(F.greatest("fu", "fv")["kid"]).alias("doc_b"), "jaccard")
 
 
 def keep_one(docs: DataFrame, n: int = N, theta: float = THETA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those of a group (documents connected by pairs) but for its least. Documents without grams stay."""
-    classes, pairs = _class_pairs(docs, n, theta, id_col, text_col)
-    parts = components(as_table(pairs.select("u", "v"), "ngram-pairs"))
-    grouped = classes.join(parts, F.col("sig") == F.col("node"), "left").withColumn("part", F.coalesce("component", "sig"))
-    best = grouped.groupBy("part").agg(F.min(F.struct("kid", "th")).alias("best"), F.count("*").alias("size")).where("size > 1")
-    gone = grouped.join(best, "part").groupBy("kid", "th").agg(F.max(F.struct("kid", "th") == F.col("best")).alias("first"))
+    """The rows of docs without those of a group (documents connected by links) but for its least. Documents without grams stay."""
+    grouped = _grouped(docs, n, theta, id_col, text_col).where("links > 0")
+    gone = grouped.groupBy("kid", "th").agg(F.max(F.struct("kid", "th") == F.col("best")).alias("first"))
     rows = identified(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).drop("text")
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("kid", "th").orderBy("kid")))
-    return rows.join(gone, ["kid", "th"], "left").where("first is null or (first and copy = 1)").select("row.*")
-
+    rows = rows.join(gone, ["kid", "th"], "left").where("first is null or first")
+    rows = rows.withColumn("copy", F.when(F.col("first"), F.row_number().over(Window.partitionBy("kid", "th", "first").orderBy("kid"))).otherwise(1))
+    return rows.where("copy = 1").select("row.*")
 
-SQL = f"""
-WITH w AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents WHERE text IS NOT NULL
-), g AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN ws ELSE [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))] END) AS gram FROM w WHERE len(ws) > 0
-), s AS (
-  SELECT doc_id, count(*) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS sig FROM g GROUP BY doc_id
-), c AS (
-  SELECT doc_id, n, min(doc_id) OVER (PARTITION BY sig) AS first FROM s
-), r AS (
-  SELECT g.doc_id, n, gram FROM g JOIN c USING (doc_id) WHERE doc_id = first
-), p AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o, any_value(a.n) AS na, any_value(b.n) AS nb
-  FROM r a JOIN r b ON a.gram = b.gram AND a.doc_id < b.doc_id AND least(a.n, b.n) >= {THETA} * greatest(a.n, b.n) - 1e-9 GROUP BY ALL
-)
-SELECT doc_a, doc_b, round(o / (na + nb - o), 6) AS jaccard FROM p WHERE o >= ceil({THETA} / (1 + {THETA}) * (na + nb) - 1e-9)
-UNION ALL SELECT first, doc_id, 1.0 FROM c WHERE doc_id <> first
-"""
 
-ALL_SQL = f"""
-WITH w AS (
+_SETS = f"""
+WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents WHERE text IS NOT NULL
 ), g AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN ws ELSE [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))] END) AS gram FROM w WHERE len(ws) > 0
@@ -423,6 +495,20 @@ WITH w AS (
 ), p AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o, any_value(a.n) AS na, any_value(b.n) AS nb
   FROM r a JOIN r b ON a.gram = b.gram AND a.doc_id < b.doc_id AND least(a.n, b.n) >= {THETA} * greatest(a.n, b.n) - 1e-9 GROUP BY ALL
+), pairs AS (
+  SELECT doc_a, doc_b, round(o / (na + nb - o), 6) AS jaccard FROM p WHERE o >= ceil({THETA} / (1 + {THETA}) * (na + nb) - 1e-9)
+)"""
+
+SQL = f"""{_SETS}, e AS (
+  SELECT doc_a AS u, doc_b AS v FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs
+), reached(doc_id, other) AS (
+  SELECT u, v FROM e UNION SELECT doc_id, v FROM reached JOIN e ON other = u
+), c AS (
+  SELECT doc_id, min(other) AS least FROM reached GROUP BY doc_id
+), l AS (
+  SELECT u AS doc_id, count(*) AS links FROM e GROUP BY u
 )
-SELECT doc_a, doc_b, round(o / (na + nb - o), 6) AS jaccard FROM p WHERE o >= ceil({THETA} / (1 + {THETA}) * (na + nb) - 1e-9)
+SELECT d.doc_id, coalesce(least, d.doc_id) AS class_id, coalesce(links, 0) AS links FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN l ON d.doc_id = l.doc_id
 """
+
+ALL_SQL = f"{_SETS}\nSELECT doc_a, doc_b, jaccard FROM pairs\n"

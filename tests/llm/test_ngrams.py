@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,25 +32,50 @@ def corpus(seed=3, n=120):
 
 
 def brute(docs, theta=ngrams.THETA):
-    sets = {i: grams(t) for i, t in docs}
-    ids = [i for i in sorted(sets) if sets[i]]
-    first = {}
-    for i in ids:
-        first.setdefault(frozenset(sets[i]), i)
-    pairs = {(first[frozenset(sets[i])], i): 1.0 for i in ids if first[frozenset(sets[i])] != i}
-    heads = sorted(first.values())
-    for k, a in enumerate(heads):
-        for b in heads[k + 1 :]:
-            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-            if j >= theta - 1e-9:
-                pairs[a, b] = round(j, 6)
-    return pairs
+    """All similar pairs of row numbers."""
+    sets = [grams(t) for _, t in docs]
+    return {(a, b) for a in range(len(docs)) for b in range(a + 1, len(docs)) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= (theta - 1e-9) * len(sets[a] | sets[b])}
+
+
+def grouped(docs):
+    """Of each row: its id, the least id connected to it, how many rows it is similar to."""
+    up, links = list(range(len(docs))), [0] * len(docs)
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    order = sorted(range(len(docs)), key=lambda k: (docs[k][0] is not None, docs[k][0] or 0))
+    place = {k: i for i, k in enumerate(order)}
+    for a, b in brute(docs):
+        links[a] += 1
+        links[b] += 1
+        a, b = root(place[a]), root(place[b])
+        up[max(a, b)] = min(a, b)
+    return Counter((docs[k][0], docs[order[root(place[k])]][0], links[k]) for k in range(len(docs)))
+
+
+def joined(df):
+    return Counter((r.doc_id, r.class_id, r.links) for r in ngrams.join(df).collect())
 
 
 def test_join_against_brute_force(spark):
     docs = corpus()
+    docs += [(len(docs) + i, t) for i, t in docs[::5]]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], SCHEMA)
-    assert {(r.doc_a, r.doc_b): r.jaccard for r in ngrams.join(df).collect()} == brute(docs)
+    assert joined(df) == grouped(docs)
+
+
+def test_components_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "COMPONENT_GRAMS", 300)
+    base = corpus(5, 1)[0][1].split() * 3
+    docs = [(i, " ".join([*base[: 30 + i % 4], f"own{i % 17}", *base[30 + i % 4 :]])) for i in range(60)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], SCHEMA)
+    assert joined(df) == grouped(docs)
+    want = {(docs[a][0], docs[b][0]) for a, b in brute(docs)}
+    got = [(r.doc_a, r.doc_b) for r in ngrams.all_pairs(df).collect()]
+    assert len(got) == len(want) and set(got) == want
 
 
 def test_all_pairs_against_brute_force(spark):
@@ -64,19 +90,9 @@ def test_all_pairs_against_brute_force(spark):
 
 def test_keep_one_against_brute_force(spark):
     docs = corpus(8)
-    up = {i: i for i, _ in docs}
-
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a, b in brute(docs):
-        a, b = root(a), root(b)
-        up[max(a, b)] = min(a, b)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], SCHEMA)
     got = ngrams.keep_one(df).collect()
-    assert {r.doc_id for r in got} == {i for i in up if root(i) == i} and all(r.sig == "x" for r in got)
+    assert {r.doc_id for r in got} == {c for _, c, _ in grouped(docs)} and all(r.sig == "x" for r in got)
 
 
 def test_divide_skip_against_brute_force():
@@ -85,6 +101,7 @@ def test_divide_skip_against_brute_force():
         base = [np.unique(r.integers(0, 300, r.integers(1, 80)).astype(np.uint64)) for _ in range(12)]
         sets = [np.unique(np.where(r.random(len(b)) < 0.15, r.integers(0, 300, len(b)), b).astype(np.uint64)) for b in base for _ in range(4)]
         got = {(min(i, j), max(i, j)): c for i, j, c in ngrams.divide_skip(sets, theta)}
+        assert got == {(min(i, j), max(i, j)): c for i, j, c in ngrams.divide_skip(sets, theta, merge=ngrams.heap_merge)}
         want = {}
         for i in range(len(sets)):
             for j in range(i + 1, len(sets)):
@@ -100,19 +117,45 @@ def test_pair_hits_of_long_lists():
     assert len(pairs) == len(set(pairs)) == 2100 * 2099 // 2 + 3
 
 
-def test_hits_beyond_two_bytes():
-    shared = np.arange(70_000, dtype=np.uint32)
-    raw = [x.tobytes() for x in (np.array([5, 9], np.uint64), np.full(2, 450_000, np.int32), np.full(2, 70_000, np.int32), np.tile(shared, 2))]
-    row = pa.record_batch([pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in raw)], names=["bucket", "docs", "sizes", "lengths", "grams"])
-    likely = list(ngrams._likely_pairs(ngrams._bucket_pairs([row], ngrams.THETA, 12), ngrams.THETA))
-    assert [(r["u"], r["v"]) for b in likely for r in b.to_pylist()] == [(9, 5)]
+def test_merges_are_equal():
+    r = np.random.default_rng(6)
+    lists = [np.unique(r.integers(0, 50, k)).astype(np.int32) for k in (1, 5, 40, 40, 90)]
+    a, b = ngrams.heap_merge(lists), ngrams.run_merge(lists)
+    assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+
+
+def test_packed_pairs_come_back():
+    r = np.random.default_rng(7)
+    for n, most in ((3, 2), (400, 300), (400, 70_000)):
+        names, sizes = np.sort(r.integers(0, 1 << 62, n)).astype(np.uint64), r.integers(1, 9, n)
+        a, b = np.triu_indices(n, 1)
+        pick = r.random(len(a)) < 0.3
+        pick[0] = True
+        a, b = a[pick], b[pick]
+        hits = r.integers(1, most, len(a))
+        u, nu, many, v, nv, at, h = ngrams._unpack_pairs(*ngrams._pack_pairs(names, sizes, a, b, hits))
+        assert np.repeat(u, many).tolist() == names[a].tolist() and v[at].tolist() == names[b].tolist() and h.tolist() == hits.tolist()
+        assert np.repeat(nu, many).tolist() == sizes[a].tolist() and nv[at].tolist() == sizes[b].tolist()
+
+
+def test_two_sets_of_millions_of_grams():
+    n = 3_000_000
+    r = np.random.default_rng(8)
+    grams = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+    a, b = grams[: len(grams) - 1500], grams[1500:]
+    held = (np.concatenate([a, b]), np.array([len(a), len(b)]), np.array([5, 9], np.uint64))
+    rows = ngrams._posting_rows([held], 12, ngrams.THETA, np.zeros(1 << 8, np.uint8), 8)
+    pairs = list(ngrams._bucket_pairs([rows], ngrams.THETA, 12))
+    merged = pa.Table.from_batches(pairs).combine_chunks().to_batches()
+    assert [(r["u"], r["v"]) for x in ngrams._likely_pairs(merged, ngrams.THETA) for r in x.to_pylist()] == [(9, 5)]
 
 
 def test_edges(spark):
     text = "one two three four five six"
     rows = [(None, text), (1, None), (2, ""), (3, "!!! ..."), (4, text), (4, text), (5, "word"), (6, "Word!"), (7, " ".join(map(str, range(60_000))))]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
-    assert sorted((r.doc_a is not None, r.doc_a or 0, r.doc_b, r.jaccard) for r in ngrams.join(df).collect()) == [(False, 0, 4, 1.0), (False, 0, 4, 1.0), (True, 5, 6, 1.0)]
+    assert joined(df) == grouped(rows)
+    assert Counter({(None, None, 2): 1, (4, None, 2): 2, (5, 5, 1): 1, (6, 5, 1): 1, (7, 7, 0): 1}) <= joined(df)
     kept = ngrams.keep_one(df).collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept) == [(False, 0), (True, 1), (True, 2), (True, 3), (True, 5), (True, 7)]
     assert ngrams.join(df.limit(0)).count() == 0 and ngrams.keep_one(df.limit(0)).count() == 0

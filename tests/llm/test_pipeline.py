@@ -35,7 +35,7 @@ def brute(rows):
         return x
 
     for a, b in test_ngrams.brute([(order[r[0]], r[1]) for r in rows]):
-        a, b = root(a), root(b)
+        a, b = root(order[rows[a][0]]), root(order[rows[b][0]])
         up[max(a, b)] = min(a, b)
     rows = [r for r in rows if root(order[r[0]]) == order[r[0]]]
     chars = Counter()
