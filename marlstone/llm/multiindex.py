@@ -1,21 +1,22 @@
-"""Approximate nearest neighbours of all vectors with an inverted multi-index.
+"""Approximate nearest neighbours of stated queries among all vectors with an inverted multi-index.
 
 Vectors are cut into two halves, each quantised by its own K centroids; the K * K pairs are the cells, and a vector is an entry of the cell
 of its two centroids. A query's distance to a cell is the sum of its halves' squared distances to the cell's two centroids.
 
 1. A heap walks the pairs in ascending order of that sum (a pair is pushed when the pairs before it in its row and column have been popped), until
    the cells passed hold LEAST times k entries. Reranking those by exact distance gives a first kth distance.
-2. The walk goes on to the last cell whose sum is at most that distance plus `slack`; where the walk stops is all that matters here, so cells
-   are compared with the bound all at once. Their entries are reranked too, and the k nearest of all are the answer.
-
-`slack` is what a neighbour's cell is farther off than the neighbour: the QUANTILE of that difference between QUERIES vectors and their k nearest in
-the whole table, found by one exact scan. So recall follows QUANTILE whether vectors cluster (few cells are passed) or not (most are), and however large the table is. The
-codebooks are trained on a bounded sample (SAMPLE rows, those of least hashed id); the QUERIES are the rows that follow it, or its last in a table no larger, as
-vectors that the codebooks were trained on are nearer to them than others. K grows with the fourth root of the number of vectors, to MOST_K, so the table of cell sizes stays broadcastable.
-
-Entries lie in groups of whole rows of cells; a query is sent only to groups where it passes a cell. Defined cases: see vectors.py for rows that take no part; a
-row is not its own neighbour; with fewer than k others all entries passed are answers; ties go to the lower id; an empty
-table, or one vector, gives no rows; extra columns are ignored.
+2. The same walk goes on to the last cell whose sum is at most that distance plus `slack`. Entries of the cells that it passes are reranked too, and
+   the k nearest of all are the answer.
+
+`slack` is what a neighbour's cell is farther off than the neighbour: the QUANTILE of that difference between SAMPLE_QUERIES vectors and their k nearest in
+the whole table, found by one exact scan. So recall follows QUANTILE whether vectors cluster (few cells are passed) or not (most are), and however large the table is.
+The index is fitted on a bounded sample (SAMPLE rows, those of least hashed id) and holds every row; the SAMPLE_QUERIES are the rows that follow it, or its last in a
+table no larger, as vectors that the codebooks were trained on are nearer to them than others. K grows with the fourth root of the number of
+vectors, to MOST_K, so the table of cell sizes stays broadcastable; beyond that cells hold more.
+
+Entries lie in groups of about `block`, whole cells or shares of one cell that holds more; a query is sent only to groups where it passes a cell, and entries are never
+copied. Defined cases: see vectors.py for rows that take no part; a row is not its own neighbour; a query need not be in the table; with fewer than k others all
+entries passed are answers; ties go to the lower id; an empty table, one vector or no queries give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +34,13 @@ from .vectors import block_join, checked, matrix, squares, top
 
 K = 10
 SAMPLE = 8192
-QUERIES = 1024
+SAMPLE_QUERIES = 256
 QUANTILE = 0.97
 LEAST = 20
 MOST_K = 1024
 BLOCK = 16384
 STEP = 1024
+NEAR = 1e-9  # of rounding in squared distances
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -53,16 +55,19 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarr
     return centres
 
 
-def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, least: int) -> list[tuple]:
-    """Cells in ascending order of first[i] + second[j] until they hold `least` entries, or all cells."""
+def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, least: int, limit: float | None = None) -> list[tuple]:
+    """Cells in ascending order of first[i] + second[j]: those that it takes to hold `least` entries; or, given a limit, the ones after those whose sum is
+    at most the limit. A list of (i, j)."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     x, y = first[a].tolist(), second[b].tolist()
     heap, out, held = [(x[0] + y[0], 0, 0)], [], 0
     reached = [0] * len(x)  # how many columns of a row have been popped
-    while heap and held < least:
+    own = sizes[np.ix_(a, b)].tolist()
+    while heap and (held < least if limit is None else heap[0][0] <= limit or held < least):
         _, i, j = heapq.heappop(heap)
-        out.append((int(a[i]), int(b[j])))
-        held += int(sizes[a[i], b[j]])
+        if own[i][j] and (limit is None or held >= least):
+            out.append((int(a[i]), int(b[j])))
+        held += own[i][j]
         reached[i] = j + 1
         if j + 1 < len(y) and (i == 0 or reached[i - 1] > j + 1):
             heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
@@ -115,8 +120,39 @@ def fitted_slack(entries: DataFrame, index, queries: np.ndarray, own: np.ndarray
     return float(np.quantile(further, QUANTILE)) if further else math.inf
 
 
-def neighbours(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """vec_id, rank (from 1), neighbour, distance (6 decimals)."""
+class Groups:
+    """Which groups of about `block` entries the cells are in: a run of whole cells, or for a larger cell a run of groups that share it."""
+
+    def __init__(self, sizes: np.ndarray, block: int):
+        flat = sizes.ravel()
+        self.shares = np.maximum(1, -(-flat // block))
+        first = np.zeros(len(flat), np.int64)
+        now = held = 0
+        for c in np.flatnonzero(flat).tolist():
+            n, s = int(flat[c]), int(self.shares[c])
+            if held and (held + n > block or s > 1):
+                now, held = now + 1, 0
+            first[c] = now
+            if s > 1:
+                now, held = now + s, 0
+            else:
+                held += n
+        self.first, self.count = first, now + bool(held)
+
+    def of_entries(self, cells: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return self.first[cells] + (ids % self.shares[cells])
+
+    def of_cells(self, cells: list[int]) -> dict[int, list[int]]:
+        """The cells to look into, by group."""
+        out: dict[int, list[int]] = {}
+        for c in cells:
+            for g in range(int(self.first[c]), int(self.first[c] + self.shares[c])):
+                out.setdefault(g, []).append(c)
+        return out
+
+
+def neighbours(table: DataFrame, queries: DataFrame | None = None, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """vec_id, rank (from 1), neighbour, distance (6 decimals). queries: rows of the same columns; all of the table if None."""
     spark = table.sparkSession
     result = "vec_id long, rank int, neighbour long, distance double"
     vectors, dim = checked(table, id_col, vector_col)
@@ -126,9 +162,8 @@ def neighbours(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col:
     n = vectors.count()
     if n < 2:
         return spark.createDataFrame([], result)
-    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + QUERIES).collect()
+    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + SAMPLE_QUERIES).collect()
     index = Index(np.array([np.frombuffer(r.vec, np.float32) for r in picked[:SAMPLE]], np.float64), n)
-    rows_of_cells = len(index.books[0])
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches):
@@ -137,111 +172,84 @@ def neighbours(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col:
             yield pa.record_batch([b.column(0), b.column(1), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))], names=["id", "vec", "i", "j"])
 
     entries = as_table(vectors.mapInArrow(assign, "id long, vec binary, i int, j int"), "imi-entries")
-    asked = picked[-QUERIES:]
-    slack = fitted_slack(entries, shared, np.array([np.frombuffer(r.vec, np.float32) for r in asked], np.float64), np.array([r.id for r in asked], np.int64), k)
-    sizes = np.zeros((rows_of_cells, len(index.books[1])), np.int64)
-    for r in entries.groupBy("i", "j").count().collect():
+    sample = picked[-SAMPLE_QUERIES:]
+    slack = fitted_slack(entries, shared, np.array([np.frombuffer(r.vec, np.float32) for r in sample], np.float64), np.array([r.id for r in sample], np.int64), k)
+    width = len(index.books[1])
+    sizes = np.zeros((len(index.books[0]), width), np.int64)
+    for r in entries.groupBy("i", "j").count().collect():  # at most MOST_K ** 2 numbers
         sizes[r.i, r.j] = r["count"]
-    # rows of cells go to groups of about `block` entries, queries to parts; a key is a group and a part
-    groups = max(1, min(rows_of_cells, max(math.ceil(n / block), 12 if n > block else 1)))
-    group_of = np.empty(rows_of_cells, np.int64)
-    load = [(0, g) for g in range(groups)]
-    for i in np.argsort(-sizes.sum(1), kind="stable").tolist():
-        held, g = heapq.heappop(load)
-        group_of[i] = g
-        heapq.heappush(load, (held + int(sizes[i].sum()), g))
-    parts = max(1, math.ceil(n / (8 * block)))
-    known = spark.sparkContext.broadcast((sizes, group_of))
-    tasks = max(12, min(groups * parts, 4 * spark.sparkContext.defaultParallelism))
-    group = F.element_at(F.lit(group_of.tolist()).cast("array<int>"), F.col("i") + 1)
-    side = "key int, id long, vec binary, i int, j int, lim double, cells binary"
-    repeated = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    held = repeated.select((group * parts + F.col("part")).cast("int").alias("key"), "id", "vec", "i", "j", F.lit(None).cast("double").alias("lim"), F.lit(None).cast("binary").alias("cells"))
+    groups = Groups(sizes, max(1, min(block, math.ceil(n / 12))))
+    known = spark.sparkContext.broadcast((sizes, groups))
+    tasks = max(1, min(groups.count, 4 * spark.sparkContext.defaultParallelism))
+    side = "key int, id long, vec binary, cell int, lim double, cells binary"
 
-    def send(batches):
-        """Queries to the groups of the cells that the walk or the bound passes; lim is null in the first round."""
-        sizes, group_of = known.value
+    def place(batches):
         for b in batches:
-            x = matrix(b.column("vec"), np.float32, dim).astype(np.float64)
-            a, c = shared.value.sums(x)
+            cell = b.column("i").to_numpy().astype(np.int64) * width + b.column("j").to_numpy()
+            key = known.value[1].of_entries(cell, b.column("id").to_numpy())
+            yield pa.record_batch([pa.array(key.astype(np.int32)), b.column("id"), b.column("vec"), pa.array(cell.astype(np.int32)), pa.nulls(len(b), pa.float64()), pa.nulls(len(b), pa.binary())], names=["key", "id", "vec", "cell", "lim", "cells"])
+
+    held = entries.mapInArrow(place, side)
+
+    def send(batches):
+        """Queries to the groups of the cells that the walk passes; lim, the kth squared distance so far, is null in the first round."""
+        sizes, groups = known.value
+        for b in slices(batches, STEP):
+            a, c = shared.value.sums(matrix(b.column("vec"), np.float32, dim).astype(np.float64))
             at, keys, lists = [], [], []
-            limits = b.column("lim").to_pylist()
-            least = c.min(1)
-            for q in range(len(b)):
-                if limits[q] is None:
-                    by: dict[int, list[int]] = {}
-                    for i, j in walk(a[q], c[q], sizes, LEAST * k + 1):
-                        by.setdefault(int(group_of[i]), []).append(i * sizes.shape[1] + j)
-                    for g, cells in by.items():
-                        at.append(q)
-                        keys.append(g)
-                        lists.append(np.array(cells, np.int32).tobytes())
-                else:
-                    for g in np.unique(group_of[a[q] + least[q] <= limits[q]]).tolist():
-                        at.append(q)
-                        keys.append(g)
-                        lists.append(None)
-            keys = np.array(keys, np.int64) * parts + b.column("id").to_numpy()[at] % parts if at else np.zeros(0, np.int64)
-            nulls = pa.nulls(len(at), pa.int32())
+            for q, lim in enumerate(b.column("lim").to_pylist()):
+                passed = walk(a[q], c[q], sizes, LEAST * k + 1, None if lim is None else lim + slack)
+                for g, cells in groups.of_cells([i * width + j for i, j in passed]).items():
+                    at.append(q)
+                    keys.append(g)
+                    lists.append(np.array(cells, np.int32).tobytes())
             rows = pa.array(at, pa.int64())
-            yield pa.record_batch([pa.array(keys.astype(np.int32)), b.column("id").take(rows), b.column("vec").take(rows), nulls, nulls, b.column("lim").take(rows), pa.array(lists, pa.binary())], names=["key", "id", "vec", "i", "j", "lim", "cells"])
+            yield pa.record_batch([pa.array(keys, pa.int32()), b.column("id").take(rows), b.column("vec").take(rows), pa.nulls(len(at), pa.int32()), b.column("lim").take(rows), pa.array(lists, pa.binary())], names=["key", "id", "vec", "cell", "lim", "cells"])
 
     def rerank(key, entries, queries):
-        index = shared.value
-        width = len(index.books[1])
-        cell = entries.column("i").to_numpy().astype(np.int64) * width + entries.column("j").to_numpy()
-        order = np.lexsort((entries.column("id").to_numpy(), cell))
-        cell, ids = cell[order], entries.column("id").to_numpy()[order]
-        x = matrix(entries.column("vec"), np.float32, dim)[order]
+        cell, ids = entries.column("cell").to_numpy(), entries.column("id").to_numpy()
+        order = np.lexsort((ids, cell))
+        cell, ids, x = cell[order], ids[order], matrix(entries.column("vec"), np.float32, dim)[order].astype(np.float64)
         for s in range(0, len(queries), STEP):
             part = queries.slice(s, STEP)
-            own, y = part.column("id").to_numpy(), matrix(part.column("vec"), np.float32, dim)
-            lists, limits = part.column("cells").to_pylist(), part.column("lim").to_numpy(zero_copy_only=False)
-            best_d, best_x = np.full((len(part), k), np.inf), np.full((len(part), k), -1, np.int64)
-            if lists[0] is not None:
-                for q, raw in enumerate(lists):
-                    cells = np.frombuffer(raw, np.int32)
-                    start, stop = np.searchsorted(cell, cells), np.searchsorted(cell, cells, "right")
-                    at = np.concatenate([np.arange(u, v) for u, v in zip(start, stop)])
-                    at = at[ids[at] != own[q]]
-                    d = ((x[at].astype(np.float64) - y[q]) ** 2).sum(1)
-                    take = np.lexsort((ids[at], d))[:k]
-                    best_d[q, : len(take)], best_x[q, : len(take)] = d[take], ids[at][take]
-            else:
-                a, c = index.sums(y.astype(np.float64))
-                head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-                length = np.diff(np.append(head, len(cell)))
-                ci, cj = cell[head] // width, cell[head] % width
-                for i in np.unique(ci).tolist():
-                    row = np.flatnonzero(ci == i)
-                    passes = a[:, i, None] + c[:, cj[row]] <= limits[:, None]
-                    who, which = np.flatnonzero(passes.any(1)), passes.any(0)
-                    if not len(who):
-                        continue
-                    row = row[which]
-                    at = np.concatenate([np.arange(head[r], head[r] + length[r]) for r in row])
-                    d = squares(y[who], x[at]).astype(np.float32)
-                    d[~np.repeat(passes[np.ix_(who, which)], length[row], axis=1)] = np.inf
-                    d[own[who][:, None] == ids[at][None]] = np.inf
-                    pick = top(d, k)
-                    near = ((x[at][pick].astype(np.float64) - y[who][:, None].astype(np.float64)) ** 2).sum(2)
-                    near[~np.isfinite(np.take_along_axis(d, pick, 1))] = np.inf
-                    all_d, all_x = np.concatenate([best_d[who], near], 1), np.concatenate([best_x[who], ids[at][pick]], 1)
-                    order_ = np.lexsort((all_x, all_d), axis=1)[:, :k]
-                    best_d[who], best_x[who] = np.take_along_axis(all_d, order_, 1), np.take_along_axis(all_x, order_, 1)
-            r, c_ = np.nonzero(np.isfinite(best_d))
-            yield pa.record_batch([pa.array(own[r]), pa.array(best_x[r, c_]), pa.array(best_d[r, c_])], names=["q", "x", "d2"])
+            own, y = part.column("id").to_numpy(), matrix(part.column("vec"), np.float32, dim).astype(np.float64)
+            limits = part.column("lim").to_numpy(zero_copy_only=False)
+            lists = [np.frombuffer(c.as_buffer(), np.int32) for c in part.column("cells")]
+            who, which = np.repeat(np.arange(len(lists)), [len(c) for c in lists]), np.concatenate(lists)
+            order = np.argsort(which, kind="stable")
+            who, which = who[order], which[order]
+            edges = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1], [True]]))
+            start, stop = np.searchsorted(cell, which[edges[:-1]]), np.searchsorted(cell, which[edges[:-1]], "right")
+            best_d, best_x = np.full((len(part), k), np.inf), np.full((len(part), k), np.iinfo(np.int64).max, np.int64)
+            kth = np.where(np.isnan(limits), np.inf, limits)  # no answer is farther than the kth of the first round
+            for e, u, v in zip(range(len(edges) - 1), start.tolist(), stop.tolist()):
+                q = who[edges[e] : edges[e + 1]]
+                d = squares(y[q], x[u:v])
+                d[own[q][:, None] == ids[u:v][None]] = np.inf
+                nearer = (d <= kth[q][:, None] + NEAR).any(1)
+                if not nearer.any():
+                    continue
+                q, d = q[nearer], d[nearer]
+                pick = top(d, k)
+                near = ((x[u:v][pick] - y[q][:, None]) ** 2).sum(2)
+                near[~np.isfinite(np.take_along_axis(d, pick, 1))] = np.inf
+                all_d, all_x = np.concatenate([best_d[q], near], 1), np.concatenate([best_x[q], ids[u:v][pick]], 1)
+                order = np.lexsort((all_x, all_d), axis=1)[:, :k]
+                best_d[q], best_x[q] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_x, order, 1)
+                kth[q] = np.minimum(kth[q], best_d[q, -1])
+            r, c = np.nonzero(np.isfinite(best_d))
+            yield pa.record_batch([pa.array(own[r]), pa.array(best_x[r, c]), pa.array(best_d[r, c])], names=["q", "x", "d2"])
 
     ranked = Window.partitionBy("q").orderBy("d2", "x")
 
-    def round_of(queries: DataFrame, *before: DataFrame) -> DataFrame:
+    def round_of(queries: DataFrame, before: DataFrame | None = None) -> DataFrame:
         found = block_join(held, queries.mapInArrow(send, side), rerank, "q long, x long, d2 double", tasks)
-        for b in before:
-            found = found.union(b.select("q", "x", "d2")).groupBy("q", "x").agg(F.min("d2").alias("d2"))
+        if before is not None:
+            found = found.unionByName(before.select("q", "x", "d2"))
         return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
-    one = as_table(round_of(entries.select("id", "vec", F.lit(None).cast("double").alias("lim"))), "imi-first")
-    bound = one.groupBy(F.col("q").alias("id")).agg(F.when(F.count("*") >= k, F.max("d2")).otherwise(F.lit(float("inf"))).alias("d"))
-    bounded = entries.select("id", "vec").join(bound, "id", "left").select("id", "vec", (F.coalesce("d", F.lit(float("inf"))) + F.lit(slack)).alias("lim"))
-    two = round_of(bounded, one)
+    asked = entries.select("id", "vec") if queries is None else as_table(checked(queries, id_col, vector_col, dim)[0], "imi-queries")
+    one = as_table(round_of(asked.withColumn("lim", F.lit(None).cast("double"))), "imi-first")
+    bound = one.groupBy(F.col("q").alias("id")).agg(F.when(F.count("*") >= k, F.max("d2")).otherwise(F.lit(float("inf"))).alias("lim"))
+    two = round_of(asked.join(bound, "id", "left").select("id", "vec", F.coalesce("lim", F.lit(float("inf"))).alias("lim")), one)
     return two.select(F.col("q").alias("vec_id"), F.col("rank").cast("int").alias("rank"), F.col("x").alias("neighbour"), F.round(F.sqrt("d2"), 6).alias("distance"))

@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def checked(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(id, vec: float32 bytes; the number of dimensions, 0 if nothing takes part)."""
+def checked(table: DataFrame, id_col: str, vector_col: str, dim: int | None = None) -> tuple[DataFrame, int]:
+    """(id, vec: float32 bytes; the number of dimensions, 0 if nothing takes part). dim: the number that is asked for, instead of the commonest."""
     rows = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<float>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")).cast("float"))))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = sizes.n if sizes else 0
+    if dim is None:
+        sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        dim = sizes.n if sizes else 0
 
     def pack(batches):
         for b in batches:
