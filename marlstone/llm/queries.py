@@ -57,6 +57,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def all_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def all_reply_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.conversations(replies.threads(table(spark, sf_dir, "conversations")), top=None)
 
@@ -75,7 +80,7 @@ def oracle_sql() -> dict[str, str]:
 
 def whole_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The full results of operators whose query above returns a chosen part."""
-    return {"op3_reply_trees_all": all_reply_branches, "op7_ngram_jaccard_all": all_ngram_pairs}
+    return {"op2_toxicity_scores": all_toxicity_scores, "op3_reply_trees_all": all_reply_branches, "op7_ngram_jaccard_all": all_ngram_pairs}
 
 
 def whole_sql() -> dict[str, str]:
