@@ -12,7 +12,7 @@ the bucket. So even a source that holds most of the corpus is spread over `bucke
 Defined cases: a null source counts as the source ''. A null id stands first, in bucket 0. A null or empty
 text has no characters but is sampled as any document of its source. A source without any characters gets
 one expected copy a document. Rows that repeat are documents of their own. An empty table gives no rows. Extra
-columns are carried along, whatever their names.
+columns are carried along, whatever their names; a copy_col that is the name of one is refused.
 """
 
 from __future__ import annotations
@@ -56,6 +56,8 @@ def source_plan(docs: DataFrame, weights: dict[str, float] | None = None, total_
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total_chars: float | None = None, alpha: float = ALPHA, seed: str = SEED, buckets: int = BUCKETS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """The sampled rows, with the columns of docs (or those in carry) and, if copy_col is given, which copy it is (from 1)."""
     kept = docs.columns if carry is None else carry
+    if copy_col in kept:
+        raise ValueError(f"there is a column {copy_col} already")
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"),
         F.col(id_col).alias("__id"),
@@ -86,7 +88,7 @@ WITH d AS (
 ), r AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY bucket, doc_id) AS place FROM d
 ), c AS (
-  SELECT doc_id, r.source, (place * each_ + offset_) // {UNIT} - ((place - 1) * each_ + offset_) // {UNIT} AS copies FROM r JOIN e USING (source)
+  SELECT doc_id, (place * each_ + offset_) // {UNIT} - ((place - 1) * each_ + offset_) // {UNIT} AS copies FROM r JOIN e USING (source)
 )
-SELECT doc_id, source, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM c
+SELECT documents.*, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM c JOIN documents USING (doc_id)
 """

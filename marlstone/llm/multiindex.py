@@ -55,19 +55,20 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarr
     return centres
 
 
-def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, least: int, limit: float | None = None) -> list[tuple]:
+def walk(first: np.ndarray, second: np.ndarray, sizes: list[list[int]], least: int, limit: float | None = None) -> list[tuple]:
     """Cells in ascending order of first[i] + second[j]: those that it takes to hold `least` entries; or, given a limit, the ones after those whose sum is
     at most the limit. A list of (i, j)."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     x, y = first[a].tolist(), second[b].tolist()
+    a, b = a.tolist(), b.tolist()
     heap, out, held = [(x[0] + y[0], 0, 0)], [], 0
     reached = [0] * len(x)  # how many columns of a row have been popped
-    own = sizes[np.ix_(a, b)].tolist()
     while heap and (held < least if limit is None else heap[0][0] <= limit or held < least):
         _, i, j = heapq.heappop(heap)
-        if own[i][j] and (limit is None or held >= least):
-            out.append((int(a[i]), int(b[j])))
-        held += own[i][j]
+        n = sizes[a[i]][b[j]]
+        if n and (limit is None or held >= least):
+            out.append((a[i], b[j]))
+        held += n
         reached[i] = j + 1
         if j + 1 < len(y) and (i == 0 or reached[i - 1] > j + 1):
             heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
@@ -193,7 +194,7 @@ def neighbours(table: DataFrame, queries: DataFrame | None = None, k: int = K, i
 
     def send(batches):
         """Queries to the groups of the cells that the walk passes; lim, the kth squared distance so far, is null in the first round."""
-        sizes, groups = known.value
+        sizes, groups = known.value[0].tolist(), known.value[1]
         for b in slices(batches, STEP):
             a, c = shared.value.sums(matrix(b.column("vec"), np.float32, dim).astype(np.float64))
             at, keys, lists = [], [], []
@@ -243,7 +244,7 @@ def neighbours(table: DataFrame, queries: DataFrame | None = None, k: int = K, i
     ranked = Window.partitionBy("q").orderBy("d2", "x")
 
     def round_of(queries: DataFrame, before: DataFrame | None = None) -> DataFrame:
-        found = block_join(held, queries.mapInArrow(send, side), rerank, "q long, x long, d2 double", tasks)
+        found = block_join(held, queries.repartition(4 * spark.sparkContext.defaultParallelism, "id").mapInArrow(send, side), rerank, "q long, x long, d2 double", tasks)
         if before is not None:
             found = found.unionByName(before.select("q", "x", "d2"))
         return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)

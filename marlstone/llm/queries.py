@@ -31,8 +31,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs, gone_col="lines_gone")
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), gone_col="lines_gone")
 
 
 def op6_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +49,7 @@ def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), copy_col="copy", carry=["doc_id", "source"])
+    return mixing.mix(table(spark, sf_dir, "documents"), copy_col="copy")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import as_table, key_filter, slices
 
 SAMPLE = 3000
 WINDOW = 16
@@ -155,8 +155,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     if not fitted:
         return None
     judge = Judge(bytes(fitted.ordinary), bytes(fitted.toxic), fitted.gain)
-    apart = texts.join(marks.where((F.col("toxic") == 0) & (half == 1)).select("id"), "id", "left_semi")
-    found = score(apart, judge, "id").agg(F.percentile_approx("score", 1 - RATE, 100_000)).first()[0]
+    # texts that may be among the rows apart are scored where they are, and only scores are joined
+    apart = as_table(marks.where((F.col("toxic") == 0) & (half == 1)).select("id", F.xxhash64("id").alias("th")), "toxicity-apart")
+    scores = score(key_filter(apart, texts.where("id is not null").select("id", "text", F.xxhash64("id").alias("th"))), judge, "id")
+    scores = scores.join(apart.select(F.col("id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    found = scores.agg(F.percentile_approx("score", 1 - RATE, 100_000)).first()[0]
     judge.threshold = max(FLOOR, found or 0.0)
     return judge
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from marlstone.llm import lines
 from marlstone.llm.common import components
 
@@ -21,7 +23,7 @@ def brute(docs):
     order = [(i, k, x) for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0])) if t is not None for k, x in enumerate(t.split("\n"))]
     drop = set()
     for n, (i, k, x) in enumerate(order):
-        if x.strip(" ") and any(y == x or (min(len(x), len(y)) >= lines.LEAST_CHARS and abs(len(x) - len(y)) <= 1 and edits(x, y) <= 1) for _, _, y in order[:n]):
+        if x.strip(" ") and any(y == x or (y.strip(" ") and abs(len(x) - len(y)) <= 1 and edits(x, y) <= 1) for _, _, y in order[:n]):
             drop.add((i, k))
     out = {}
     for i, t in docs:
@@ -35,6 +37,11 @@ def brute(docs):
     return out
 
 
+def test_within_one():
+    words = [a + b + c for a in ("", "a", "ab", "ba") for b in ("", "a", "é") for c in ("", "b", "ab", "aab")]
+    assert all(lines.within_one(a, b) == (edits(a, b) <= 1) for a in words for b in words)
+
+
 def run(spark, rows):
     df = spark.createDataFrame([(i, t, None, 5, "x") for i, t in rows], SCHEMA)
     return lines.dedup_lines(df).collect()
@@ -58,13 +65,20 @@ def test_edges(spark):
     docs = [(None, same), (1, None), (2, ""), (3, "  \n"), (4, same), (5, same + "s\n\nown line of this text"), (6, "short"), (7, "shorT"), (8, "x" * 200_000), (9, "x" * 199_999)]
     rows = run(spark, docs)
     got = {x.doc_id: x.text for x in rows}
-    assert got == {None: same, 1: None, 2: "", 3: "  \n", 5: "\nown line of this text", 6: "short", 7: "shorT", 8: "x" * 200_000}
+    assert got == {None: same, 1: None, 2: "", 3: "  \n", 5: "\nown line of this text", 6: "short", 8: "x" * 200_000}
     assert all(x.no == 5 and x.row == "x" and x.n_chars == (None if x.text is None else len(x.text)) for x in rows)
 
 
 def test_repeated_rows_and_empty_table(spark):
     assert [x.text for x in run(spark, [(1, "one line that is repeated"), (1, "one line that is repeated")])] == ["one line that is repeated"]
     assert run(spark, []) == []
+    with pytest.raises(ValueError):
+        lines.dedup_lines(spark.createDataFrame([], SCHEMA), gone_col="no")
+
+
+def test_short_lines(spark):
+    docs = [(1, "a\nxy"), (2, "b\nxyz\nq"), (3, "k\nxz"), (4, ""), (5, "nm\nop"), (6, "n\nfine here")]
+    assert {x.doc_id: x.text for x in run(spark, docs)} == brute(docs)
 
 
 def test_components(spark):

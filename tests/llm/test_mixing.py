@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pytest
+
 from marlstone.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string, copy int, each string"
@@ -35,6 +37,8 @@ def test_edges(spark):
     got = Counter((r.doc_id, r.text, r.source) for r in out)
     assert all(got[x] >= 1 for x in rows) and got[4, "abc", "s"] >= 2
     assert mixing.mix(frame(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(frame(spark, rows), copy_col="copy")
 
 
 def test_same_result_again(spark):

@@ -67,12 +67,12 @@ def test_multi_index_recall_beyond_the_sample(spark, monkeypatch):
 def test_walk_ascends_and_covers():
     r = np.random.default_rng(0)
     a, b = r.random(7), r.random(5)
-    cells = multiindex.walk(a, b, np.ones((7, 5), int), 35)
+    cells = multiindex.walk(a, b, np.ones((7, 5), int).tolist(), 35)
     sums = [a[i] + b[j] for i, j in cells]
     assert len(set(cells)) == 35 and sums == sorted(sums)
-    assert len(multiindex.walk(a, b, np.full((7, 5), 10), 25)) == 3
-    rest = multiindex.walk(a, b, np.full((7, 5), 10), 25, sums[20])
-    assert rest == cells[3:21] and multiindex.walk(a, b, np.full((7, 5), 10), 25, 0.0) == []
+    assert len(multiindex.walk(a, b, np.full((7, 5), 10).tolist(), 25)) == 3
+    rest = multiindex.walk(a, b, np.full((7, 5), 10).tolist(), 25, sums[20])
+    assert rest == cells[3:21] and multiindex.walk(a, b, np.full((7, 5), 10).tolist(), 25, 0.0) == []
 
 
 def test_groups_hold_all_cells_and_cut_large_ones():
