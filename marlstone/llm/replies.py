@@ -1,14 +1,15 @@
 """Reply trees: root-to-leaf paths by iterative self-joins, ranked, and written as one conversation each.
 
-Every node points at its parent. In each round the pointers double: a node whose pointer has not passed a root joins
-the node that it points at and takes over its path, score and pointer. So a tree of depth d needs about log2(d)
-self-joins, each written to the shared folder. A leaf is a node that is nobody's parent; its path is a branch.
+Every node points at its parent. In each round of the first part pointers double: a node whose pointer has not passed a root takes over the pointer of the node that it points
+at. So a tree of depth d needs about log2(d) self-joins of narrow rows, each written to the shared folder. A leaf is a node that is nobody's parent; its path is
+a branch. The second part walks these tables from the leaves: a path known up to 2**k nodes joins the k-th table, which gives the next 2**k. Only leaves carry paths, as rows (leaf, node,
+steps from the leaf), so the work is that of the paths themselves.
 
-Branches of a tree are ranked by the mean score of their nodes, highest first, then by lower leaf. Defined cases: a
+Branches of a tree are ranked by the mean score of their nodes (added root first), highest first, then by lower leaf. Defined cases: a
 row whose tree or node is null is dropped. Of rows that repeat a (tree, node), the one with the highest score,
 then the least parent, role and text, stands. A parent that is null, or that its tree does not hold, makes a root. Nodes on
 or below a cycle reach no root and are dropped. A null score counts 0, a null role as 'unknown', a null text as empty. An empty
-table gives no rows. Extra columns are ignored.
+table gives no rows. Extra columns are ignored. Trees of any depth and texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -21,28 +22,27 @@ from .common import as_table
 TOP = 2
 
 
-def branches(nodes: DataFrame) -> DataFrame:
-    """nodes: tree, node, parent, score. Result: tree, leaf, path (root first), score (mean), depth."""
-    n = nodes.select("tree", "node", F.struct("tree", F.col("parent").alias("node")).alias("up"), "score")
-    known = n.select(F.col("tree").alias("t"), F.col("node").alias("p"))
-    start = (
-        n.join(known, (F.col("up.tree") == F.col("t")) & (F.col("up.node") == F.col("p")), "left")
-        .select("tree", "node", F.col("p").alias("up"), F.array("node").alias("path"), F.col("score").cast("double").alias("total"), F.lit(1).alias("depth"))
-    )
-    state = as_table(start, "replies")
-    open_before = None
+def paths(nodes: DataFrame) -> DataFrame:
+    """nodes: tree, node, parent, one row each. Result: tree, leaf, node, up (steps from the leaf), of every node of every branch."""
+    known = nodes.select("tree", F.col("node").alias("parent"), F.col("node").alias("up"))
+    now = as_table(nodes.select("tree", "node", "parent").join(known, ["tree", "parent"], "left").select("tree", "node", "up"), "replies-up")
+    tables, open_before = [], None
     while True:
-        still_open = state.where("up is not null").count()
+        still_open = now.where("up is not null").count()
         if not still_open or still_open == open_before:
             break
         open_before = still_open
-        above = state.select(F.col("tree").alias("t"), F.col("node").alias("a"), F.col("up").alias("a_up"), F.col("path").alias("a_path"), F.col("total").alias("a_total"), F.col("depth").alias("a_depth"))
-        joined = state.where("up is not null").join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("a")))
-        moved = joined.select("tree", "node", F.col("a_up").alias("up"), F.concat("a_path", "path").alias("path"), (F.col("a_total") + F.col("total")).alias("total"), (F.col("a_depth") + F.col("depth")).alias("depth"))
-        state = as_table(state.where("up is null").union(moved), "replies")
-    parents = n.select("tree", F.col("up.node").alias("node")).where("node is not null").distinct()
-    leaves = state.where("up is null").join(parents, ["tree", "node"], "left_anti")
-    return leaves.select("tree", F.col("node").alias("leaf"), "path", (F.col("total") / F.col("depth")).alias("score"), "depth")
+        tables.append(now.where("up is not null"))
+        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("next"))
+        now = as_table(now.join(above, ["tree", "up"], "left").select("tree", "node", F.col("next").alias("up")), "replies-up")
+    rooted = now.where("up is null").select("tree", "node")  # what still points somewhere is on or below a cycle
+    parents = tables[0].select("tree", F.col("up").alias("node")).distinct() if tables else None
+    leaves = rooted.join(parents, ["tree", "node"], "left_anti") if tables else rooted
+    found = as_table(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up")), "replies-paths")
+    for k, table in enumerate(tables):
+        higher = found.join(table.withColumnRenamed("up", "next"), ["tree", "node"]).select("tree", "leaf", F.col("next").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        found = as_table(found.unionByName(higher), "replies-paths")
+    return found
 
 
 def conversations(rows: DataFrame, top: int | None = TOP, tree_col: str = "tree", node_col: str = "node", parent_col: str = "parent", role_col: str = "role", text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -50,15 +50,18 @@ def conversations(rows: DataFrame, top: int | None = TOP, tree_col: str = "tree"
     rows = rows.select(F.col(tree_col).alias("tree"), F.col(node_col).alias("node"), F.col(parent_col).alias("parent"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)).alias("score")).where("tree is not null and node is not null")
     first = Window.partitionBy("tree", "node").orderBy(F.desc("score"), "parent", "role", "text")
     rows = rows.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
-    order = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    ranked = branches(rows.select("tree", "node", "parent", "score")).withColumn("rank", F.row_number().over(order))
+    rows = as_table(rows, "replies-rows")
+    every = paths(rows)
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "score"))), lambda x: x.score)
+    scored = every.join(rows.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(in_order.alias("scores"))
+    scored = scored.select("tree", "leaf", F.size("scores").alias("depth"), (F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / F.size("scores")).alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
-    steps = ranked.select("tree", "rank", "leaf", "depth", "score", F.posexplode("path").alias("at", "node"))
-    turns = steps.join(rows.select("tree", "node", "role", "text"), ["tree", "node"])
     spoken = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", spoken.alias("turn")))), lambda x: x.turn), "\n")
-    return turns.groupBy("tree", "rank", "leaf", "depth", "score").agg(joined.alias("conversation"))
+    turns = every.join(ranked.select("tree", "leaf"), ["tree", "leaf"], "left_semi").join(rows.select("tree", "node", spoken.alias("turn")), ["tree", "node"])
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "turn"))), lambda x: x.turn), "\n")
+    return turns.groupBy("tree", "leaf").agg(joined.alias("conversation")).join(ranked, ["tree", "leaf"]).select("tree", "rank", "leaf", "depth", "score", "conversation")
 
 
 def threads(conv: DataFrame) -> DataFrame:
