@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.identity import content_hash
-from .functions.vector import unit
+from .functions.vector import norm, unit
 from .operators import evaluation, explore, graph, search, segment, sync
 from .operators.embed import FunctionEmbedder, HashingEmbedder, MultiEmbedder, cached, embedded
 from .plans.config import Step
@@ -157,12 +157,13 @@ def multi_route(spark, sf_dir):
     return rows.select("source_id", F.col("vector")[0].alias("n"), F.col("vector")[1].alias("e"))
 
 
-@query("""SELECT vec_id, round(sqrt(s), 6) AS size, round(embedding[1] / sqrt(s), 6) AS first, round(embedding[64] / sqrt(s), 6) AS last
-FROM (SELECT *, list_sum([CAST(x AS DOUBLE) * x for x in embedding]) AS s FROM embeddings)""")
+@query("""SELECT vec_id, size, i - 1 AS i, round(embedding[i] / sqrt(s), 6) AS x
+FROM (SELECT *, round(sqrt(s), 6) AS size, unnest(range(1, len(embedding) + 1)) AS i FROM (SELECT *, list_sum([CAST(x AS DOUBLE) * x for x in embedding]) AS s FROM embeddings))""")
 def normalize_vectors(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").withColumn("u", unit(F.col("embedding")))
-    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return rows.select("vec_id", F.round(size, 6).alias("size"), F.round(F.col("u")[0].cast("double"), 6).alias("first"), F.round(F.col("u")[63].cast("double"), 6).alias("last"))
+    """Every coordinate of the normalised vectors."""
+    rows = read(spark, sf_dir, "embeddings")
+    rows = rows.select("vec_id", F.round(norm(F.col("embedding")), 6).alias("size"), F.posexplode(unit(F.col("embedding"))).alias("i", "x"))
+    return rows.select("vec_id", "size", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 @query("""WITH t AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY text)
@@ -353,7 +354,8 @@ def last_writer(spark, sf_dir):
     return sync.last_writer(drift(spark, sf_dir)[1]).select("segment_id", "source_id", "ord")
 
 
-@query()
+@query("""SELECT CAST(doc_id AS VARCHAR) AS source_id, CASE doc_id % 10 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' ELSE 'updated' END AS action
+FROM documents WHERE doc_id % 10 < 3""")
 def manager_refresh(spark, sf_dir):
     """A manager indexes the documents as they were, then refreshes to what they are: after it all are fresh."""
     corpus, index = drift(spark, sf_dir)

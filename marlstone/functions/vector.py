@@ -20,9 +20,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector over its length; a vector without length stays."""
+    """The vector over its length, as doubles; a vector without length stays."""
     size = norm(a)
-    return F.transform(a, lambda x: F.when(size > 0, F.try_divide(x.cast("double"), size)).otherwise(x.cast("double")).cast("float"))
+    return F.transform(a, lambda x: F.when(size > 0, F.try_divide(x.cast("double"), size)).otherwise(x.cast("double")))
 
 
 def square_distance(a: Column, b: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import canonical_json, digest
 from ..shared import written
 
-DEPTH = 1000
+COMPACT = 8
 ARTIFACTS = "artifact_id string, op string, op_version string, inputs array<string>, params string, materialized boolean"
 
 
@@ -47,31 +47,35 @@ def edges_of(artifacts: DataFrame) -> DataFrame:
     return artifacts.select(F.explode("inputs").alias("src"), F.col("artifact_id").alias("dst")).distinct()
 
 
-def _closure(edges: DataFrame, seeds: DataFrame, forward: bool, depth: int) -> DataFrame:
-    """seed, node: all that can be reached from each seed, the seed itself left out. Each round joins what the last one found with the edges and
-    keeps what is new; rounds are written to the shared folder, so neither depth nor size is bound by one query's plan, and cycles end."""
+def _closure(edges: DataFrame, seeds: DataFrame, forward: bool, depth: int | None) -> DataFrame:
+    """seed, node: all that can be reached from each seed, or in so many steps; the seed itself left out. Each round joins what the last one found with
+    the edges and keeps what is new, until nothing is. Rounds are written to the shared folder, and every COMPACT rounds to one table, so neither depth nor size is bound
+    by one query's plan, and cycles end."""
     a, b = ("src", "dst") if forward else ("dst", "src")
     step = edges.select(F.col(a).alias("node"), F.col(b).alias("next"))
-    seeds = seeds.select("seed").distinct()
-    found = frontier = written(seeds.withColumn("node", F.col("seed")), "closure")
-    for _ in range(depth):
+    found = frontier = written(seeds.select("seed", F.col("seed").alias("node")).distinct(), "closure")
+    for k in itertools.count(1):
+        if depth is not None and k > depth:
+            break
         reached = frontier.join(step, "node").select("seed", F.col("next").alias("node")).distinct()
         frontier = written(reached.join(found, ["seed", "node"], "left_anti"), "closure")
         if frontier.isEmpty():
             break
         found = found.union(frontier)
+        if k % COMPACT == 0:
+            found = written(found, "closure")
     return found.where("seed <> node")
 
 
-def descendants(edges: DataFrame, seeds: DataFrame, depth: int = DEPTH) -> DataFrame:
+def descendants(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     return _closure(edges, seeds, True, depth)
 
 
-def ancestors(edges: DataFrame, seeds: DataFrame, depth: int = DEPTH) -> DataFrame:
+def ancestors(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     return _closure(edges, seeds, False, depth)
 
 
-def cone(edges: DataFrame, seeds: DataFrame, depth: int = DEPTH) -> DataFrame:
+def cone(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """node: the seeds and all below them."""
     return seeds.select(F.col("seed").alias("node")).union(descendants(edges, seeds, depth).select("node")).distinct()
 

@@ -1,7 +1,7 @@
 """The manager of a corpus: named configurations, their index, search, diagnosis and refresh.
 
-The index is one versioned table partitioned by configuration; two configurations with one segmenter share the segments, and vectors are taken
-from a cache table by text, so another configuration or a refresh embeds only what is new.
+The index is one versioned table in buckets by configuration and source; a refresh writes only the buckets of the sources that it touches. Vectors are taken
+from a cache table by text, so another configuration or a refresh embeds only what is new; the cache is only ever appended to.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ..operators.embed import Embedder, as_embedder, cached, embedded
 from ..operators.graph import Graph, edges_of, recipe
 from ..operators.search import batch_top_k, rerank, top_k, with_source
 from ..operators.segment import Segmenter, as_segmenter
-from ..shared import shared_folder
+from ..shared import shared_folder, written
 from ..sources.corpora import SCHEMA, as_corpus
 from .config import Pipeline, pipeline_of
 from .store import Table
@@ -94,8 +94,8 @@ class Manager:
         self.spark = spark
         self.corpus = as_corpus(spark, corpus)
         self.store = (store or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}").rstrip("/")
-        self.index = Table(spark, f"{self.store}/index", INDEX, ("config_hash",))
-        self.state = Table(spark, f"{self.store}/state", STATE, ("config_hash",))
+        self.index = Table(spark, f"{self.store}/index", INDEX, "source_id")
+        self.state = Table(spark, f"{self.store}/state", STATE, "source_id")
         self.cache = Table(spark, f"{self.store}/vectors", CACHE) if cache else None
         self.configs: dict[str, Config] = {}
         self.graph = Graph()
@@ -132,15 +132,18 @@ class Manager:
     # the index
 
     def _made(self, config: Config, sources: DataFrame) -> DataFrame:
-        """Index rows of sources under a configuration; new vectors go to the cache table."""
+        """Index rows of sources under a configuration, written once; new vectors go to the cache table."""
         segments = config.segmenter.segments(sources)
         if self.cache is None:
             rows = embedded(segments, config.embedder)
         else:
+            segments = written(segments, "segments")
             _, fresh = cached(segments, config.embedder, self.cache.read())
             known = self.cache.append(fresh)
+            self.cache.drop_old()
             rows, _ = cached(segments, config.embedder, known)
-        return rows.withColumn("config_hash", F.lit(config.config_id))
+        rows = rows.withColumn("config_hash", F.lit(config.config_id)).select([f.name for f in self.index.schema.fields])
+        return written(rows, "made")
 
     def _subset(self, sources: DataFrame | Sequence[str] | None) -> DataFrame:
         if sources is None:
@@ -152,30 +155,30 @@ class Manager:
             return sources.select(F.col("source_id").cast("string").alias("source_id")).distinct()
         return self.spark.createDataFrame([(str(s),) for s in dict.fromkeys(sources)], "source_id string")
 
-    def _remember(self, config: Config, sources: DataFrame) -> None:
+    def _put(self, config: Config, kept: DataFrame, fresh: DataFrame, sources: DataFrame, kept_state: DataFrame, buckets: list[int] | None) -> None:
+        """New versions of the index and of the state, in these buckets: kept rows and fresh ones, which were made of the sources."""
         seen = sources.select(F.lit(config.config_id).alias("config_hash"), "source_id", "source_hash")
-        others = self.state.read().join(seen.select("config_hash", "source_id"), ["config_hash", "source_id"], "left_anti")
-        self.state.write(others.unionByName(seen))
+        self.index.replace(config.config_id, kept.unionByName(fresh), buckets)
+        self.state.replace(config.config_id, kept_state.join(seen.select("source_id"), "source_id", "left_anti").select(seen.columns).unionByName(seen), buckets)
+        for table in (self.index, self.state):
+            table.drop_old()
 
     def materialize(self, config: str | None = None, sources: DataFrame | Sequence[str] | None = None) -> dict[str, int]:
         """Indexes all configurations, or one; all sources, or some. Rows of the same segments are replaced."""
         wanted = [self.resolve(config)] if config is not None else list({c.config_id: c for c in self.configs.values()}.values())
         chosen = self._subset(sources)
-        made = [self._made(c, chosen) for c in wanted]
-        if made:
-            fresh = reduce(DataFrame.unionByName, made)
-            keys = ["config_hash", "source_id", "idx", "source_hash"]
-            kept = self.index.read().join(fresh.select(*keys).distinct(), keys, "left_anti")
-            self.index.write(kept.unionByName(fresh))
-            for c in wanted:
-                self._remember(c, chosen)
-        n_sources = chosen.count()
-        ids = [c.config_id for c in wanted]
-        written = self.index.read().where(F.col("config_hash").isin(ids)).join(chosen.select("source_id", "source_hash"), ["source_id", "source_hash"], "left_semi").count() if made else 0
-        return {"configs": len(wanted), "sources": n_sources, "segments": written}
+        keys = ["source_id", "idx", "source_hash"]
+        for c in wanted:
+            fresh = self._made(c, chosen)
+            buckets = self.index.buckets_of(chosen)
+            kept = self.index.read(c.config_id, buckets).join(fresh.select(*keys).distinct(), keys, "left_anti")
+            self._put(c, kept, fresh, chosen, self.state.read(c.config_id, buckets), buckets)
+        current = chosen.select("source_id", "source_hash")
+        segments = sum(self.index.read(c.config_id).join(current, ["source_id", "source_hash"], "left_semi").count() for c in wanted)
+        return {"configs": len(wanted), "sources": chosen.count(), "segments": segments}
 
     def rows(self, config: str | None = None) -> DataFrame:
-        return self.index.read().where(F.col("config_hash") == self.resolve(config).config_id)
+        return self.index.read(self.resolve(config).config_id)
 
     def searchable(self, config: str | None = None) -> Searchable:
         found = self.resolve(config)
@@ -192,8 +195,8 @@ class Manager:
     def diagnose(self, config: str | None = None) -> DataFrame:
         """Flags of every source. A source that was indexed and gave no segment counts as indexed."""
         c = self.resolve(config)
-        rows = self.index.read().where(F.col("config_hash") == c.config_id).select("source_id", "source_hash", "config_hash")
-        empty = self.state.read().where(F.col("config_hash") == c.config_id).select("source_id", "source_hash", "config_hash").join(rows.select("source_id"), "source_id", "left_anti")
+        rows = self.index.read(c.config_id).select("source_id", "source_hash", "config_hash")
+        empty = self.state.read(c.config_id).select("source_id", "source_hash", "config_hash").join(rows.select("source_id").distinct(), "source_id", "left_anti")
         return sync.diagnose(self.corpus, rows.unionByName(empty), c.config_id)
 
     def refresh(self, config: str | None = None, sources: DataFrame | Sequence[str] | None = None, mode: str = "full") -> Refreshed:
@@ -201,38 +204,40 @@ class Manager:
         if sources is not None and mode == "full":
             raise ValueError("a full refresh takes all sources: use mode='scoped_full'")
         c = self.resolve(config)
-        report = self.diagnose(c.config_id).cache()
-        try:
-            plan = sync.plan_refresh(report, mode, self._ids(sources) if sources is not None else None)
+        report = written(self.diagnose(c.config_id), "report")
+        plan = written(sync.plan_refresh(report, mode, self._ids(sources) if sources is not None else None), "plan")
+        actions = written(sync.refresh_report(plan, report), "actions")
+        counts = {r.action: r["count"] for r in actions.groupBy("action").count().collect()}  # three numbers at most
+        if counts:
             chosen = self.corpus.join(plan.where("to_materialize"), "source_id", "left_semi")
-            actions = self.spark.createDataFrame(sync.refresh_report(plan, report).collect(), "source_id string, action string")
-            counts = {r.action: r["count"] for r in actions.groupBy("action").count().collect()}
-            if counts:
-                others = self.index.read().where(F.col("config_hash") != c.config_id)
-                own = sync.refresh(self.rows(c.config_id), plan, self._made(c, chosen).select([f.name for f in self.index.schema.fields]))
-                self.index.write(others.unionByName(own))
-                left = sync.without_sources(self.state.read().where(F.col("config_hash") == c.config_id), plan)
-                self.state.write(self.state.read().where(F.col("config_hash") != c.config_id).unionByName(left).unionByName(chosen.select(F.lit(c.config_id).alias("config_hash"), "source_id", "source_hash")))
-            return Refreshed(actions, counts)
-        finally:
-            report.unpersist()
+            fresh = self._made(c, chosen)
+            buckets = self.index.buckets_of(plan)
+            own = sync.without_sources(self.index.read(c.config_id, buckets), plan.where("to_delete"))
+            keys = ["source_id", "idx", "source_hash"]
+            own = own.join(fresh.select(*keys).distinct(), keys, "left_anti")
+            self._put(c, own, fresh, chosen, sync.without_sources(self.state.read(c.config_id, buckets), plan), buckets)
+        return Refreshed(actions, counts)
 
     def rebuild(self, config: str | None = None) -> Refreshed:
-        """Drops a configuration's rows and indexes all sources again."""
+        """Drops a configuration's rows and state, and indexes all sources again."""
         c = self.resolve(config)
-        self.index.write(self.index.read().where(F.col("config_hash") != c.config_id).unionByName(self._made(c, self.corpus).select([f.name for f in self.index.schema.fields])))
-        self._remember(c, self.corpus)
+        nothing = self.spark.createDataFrame([], self.index.schema), self.spark.createDataFrame([], self.state.schema)
+        self._put(c, nothing[0], self._made(c, self.corpus), self.corpus, nothing[1], None)
         actions = self.corpus.select("source_id", F.lit("added").alias("action"))
         return Refreshed(actions, {"added": actions.count()})
 
     def gc_orphans(self, config: str | None = None) -> int:
-        """Deletes rows of sources that are no longer in the corpus; how many."""
+        """Deletes rows and state of sources that are no longer in the corpus; how many rows of the index."""
         c = self.resolve(config)
-        own = self.rows(c.config_id)
+        orphans = written(self.diagnose(c.config_id).where("is_orphan").select("source_id"), "orphans")
+        buckets = self.index.buckets_of(orphans)
+        if not buckets:
+            return 0
+        own = self.index.read(c.config_id, buckets)
         before = own.count()
-        kept = sync.gc_orphans(own, self.corpus)
-        self.index.write(self.index.read().where(F.col("config_hash") != c.config_id).unionByName(kept))
-        return before - self.rows(c.config_id).count()
+        nothing = self.spark.createDataFrame([], self.index.schema)
+        self._put(c, sync.without_sources(own, orphans), nothing, self.corpus.limit(0), sync.without_sources(self.state.read(c.config_id, buckets), orphans), buckets)
+        return before - self.index.read(c.config_id, buckets).count()
 
     def lineage(self, config: str | None = None) -> tuple[DataFrame, DataFrame]:
         """(artifacts, edges): of every source its hash as a leaf, its segments and its vectors, by the configurations registered."""
