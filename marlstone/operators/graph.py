@@ -1,8 +1,9 @@
 """Lineage as tables: artifacts (artifact_id, op, op_version, inputs, params, materialized) and edges (src, dst).
 
-Closures are semi-naive rounds of joins; pipelines are two steps deep, but `depth` allows for more.
+Closures are semi-naive rounds of joins until nothing new is found, or for `depth` rounds if that is given.
 """
 
+import itertools
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
