@@ -131,7 +131,8 @@ def segment_function(spark, sf_dir):
 g AS (SELECT doc_id, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))])) AS gram FROM w)
 SELECT doc_id, gram, count(*) AS times, round(1 + ln(count(*)), 9) AS weight FROM g GROUP BY doc_id, gram""")
 def term_weights(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
+    """Texts are shuffled by document, so the far more numerous grams need no shuffle of their own."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
     grams = docs.select("doc_id", F.explode(T.ngrams(T.words(F.col("text")))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("times"))
     return grams.withColumn("weight", F.round(1 + F.log("times"), 9))
 

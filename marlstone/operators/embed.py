@@ -16,6 +16,7 @@ import urllib.error
 import urllib.request
 from collections import Counter
 from collections.abc import Callable, Hashable, Iterable, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
@@ -31,6 +32,29 @@ class EmbedderError(RuntimeError):
     """An embedder gave the wrong shape, or its service refused."""
 
 
+@dataclass(frozen=True)
+class BatchHandle:
+    """An embedding job: poll() says pending, done or failed, result() waits for the array or raises, cancel() gives up what has not begun."""
+
+    poll: Callable[[], str]
+    result: Callable[[], np.ndarray]
+    cancel: Callable[[], None] = lambda: None
+
+
+def ready_handle(array) -> BatchHandle:
+    out = np.asarray(array, np.float32)
+    return BatchHandle(lambda: "done", lambda: out)
+
+
+def _handle_of(job: Future) -> BatchHandle:
+    def poll() -> str:
+        if not job.done():
+            return "pending"
+        return "failed" if job.cancelled() or job.exception() else "done"
+
+    return BatchHandle(poll, job.result, lambda: job.cancel() and None)
+
+
 class Embedder:
     model_id = "embedder"
     dim: int | None = None
@@ -49,6 +73,16 @@ class Embedder:
             raise EmbedderError(f"{self.model_id} gave an array of shape {out.shape} instead of {wanted}")
         return out
 
+    def embed_batch(self, texts: Iterable[str], input_type: str | None = None, background: bool = False) -> BatchHandle:
+        """The texts' vectors behind a handle: made at once, or by a thread of the calling process."""
+        texts = list(texts)
+        if not background:
+            return ready_handle(self.checked(texts, input_type))
+        worker = ThreadPoolExecutor(1)
+        job = worker.submit(self.checked, texts, input_type)
+        worker.shutdown(wait=False)
+        return _handle_of(job)
+
     def __repr__(self):
         return f"{type(self).__name__}({self.model_id!r}, dim={self.dim})"
 

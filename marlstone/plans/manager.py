@@ -28,6 +28,7 @@ from .store import Table
 
 INDEX = "config_hash string, source_id string, source_hash string, ord long, segment_id string, parent_id string, idx int, start int, end int, text string, tokens int, metadata string, vector array<float>"
 STATE = "config_hash string, source_id string, source_hash string"
+REGISTRY = "source_id string, source_hash string"
 CACHE = "key string, vector array<float>"
 
 
@@ -90,7 +91,7 @@ class Searchable:
 
 
 class Manager:
-    def __init__(self, spark: SparkSession, corpus: Any = None, segmenter: Any = None, embedder: Any = None, store: str | None = None, cache: bool = True, default: bool | None = None):
+    def __init__(self, spark: SparkSession, corpus: Any = None, segmenter: Any = None, embedder: Any = None, store: str | None = None, cache: bool = True, default: bool | None = None, auto_refresh: bool = False, on_change: Callable[[DataFrame], Any] | None = None):
         self.spark = spark
         self.corpus = as_corpus(spark, corpus)
         self.store = (store or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}").rstrip("/")
@@ -99,6 +100,10 @@ class Manager:
         self.cache = Table(spark, f"{self.store}/vectors", CACHE) if cache else None
         self.configs: dict[str, Config] = {}
         self.graph = Graph()
+        self.on_change = on_change
+        self.registry = Table(spark, f"{self.store}/registry", REGISTRY, "source_id") if auto_refresh else None
+        if self.registry is not None and self.registry.version() is None:  # what is there when watching begins is no change
+            self.registry.replace("", self.corpus.select("source_id", "source_hash"))
         if default if default is not None else embedder is not None:
             self.register("default", segmenter, embedder)
 
@@ -239,6 +244,56 @@ class Manager:
         self._put(c, sync.without_sources(own, orphans), nothing, self.corpus.limit(0), sync.without_sources(self.state.read(c.config_id, buckets), orphans), buckets)
         return before - self.index.read(c.config_id, buckets).count()
 
+    # changes, if the manager was made with auto_refresh
+
+    def _watched(self) -> Table:
+        if self.registry is None:
+            raise TypeError("make the manager with auto_refresh=True to follow changes")
+        return self.registry
+
+    def diff(self) -> DataFrame:
+        """source_id, status, old_hash, new_hash: the corpus against the registry, which stays as it is."""
+        return sync.corpus_diff(self._watched().read(), self.corpus)
+
+    def scan(self) -> DataFrame:
+        """The changes since the last scan, applied to every configuration and then entered in the registry: after a failure the next scan finds them again."""
+        return self._apply(self.diff())
+
+    def _apply(self, diff: DataFrame) -> DataFrame:
+        registry = self._watched()
+        changed = written(diff.where("status <> 'unchanged'"), "changes")
+        buckets = registry.buckets_of(changed)
+        if not buckets:
+            return changed
+        if self.on_change is not None:
+            self.on_change(changed)
+        for config_id in dict.fromkeys(c.config_id for c in self.configs.values()):
+            self.refresh(config_id, changed, "scoped_full")
+        kept = sync.without_sources(registry.read("", buckets), changed)
+        registry.replace("", kept.unionByName(changed.where("new_hash is not null").select("source_id", F.col("new_hash").alias("source_hash"))), buckets)
+        registry.drop_old()
+        return changed
+
+    def _one(self, source_id: str) -> DataFrame:
+        mine = F.col("source_id") == str(source_id)
+        return self._apply(sync.corpus_diff(self._watched().read().where(mine), self.corpus.where(mine)))
+
+    def put(self, source_id: str, source: Any) -> DataFrame:
+        """Adds or replaces one source and refreshes it; the change, or nothing if its hash stays. For many use set_corpus and scan: each call here adds to
+        the corpus' plan."""
+        self._watched()
+        added = as_corpus(self.spark, {str(source_id): source})
+        self.corpus = self.corpus.where(F.col("source_id") != str(source_id)).unionByName(added)
+        return self._one(source_id)
+
+    def remove(self, source_id: str) -> DataFrame:
+        """Takes one source out of the corpus and the index; KeyError if it isn't there."""
+        self._watched()
+        if self.corpus.where(F.col("source_id") == str(source_id)).isEmpty():
+            raise KeyError(source_id)
+        self.corpus = self.corpus.where(F.col("source_id") != str(source_id))
+        return self._one(source_id)
+
     def lineage(self, config: str | None = None) -> tuple[DataFrame, DataFrame]:
         """(artifacts, edges): of every source its hash as a leaf, its segments and its vectors, by the configurations registered."""
         wanted = [self.resolve(config)] if config is not None else list(self.configs.values())

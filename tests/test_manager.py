@@ -55,6 +55,28 @@ def test_refresh_modes_and_convergence(spark):
     assert m.gc_orphans() == 3 and m.rebuild().counts == {"added": 1} and flags(m) == {"keep": ("is_fresh",)}
 
 
+def test_changes_are_followed(spark):
+    seen = []
+    m = Manager(spark, {"a": "aaa", "b": "bbb"}, segment.Lines(), model(), auto_refresh=True, on_change=lambda rows: seen.extend((r.source_id, r.status) for r in rows.collect()))
+    m.register("small", segment.Lines(), HashingEmbedder(8))
+    m.materialize()
+    assert m.scan().count() == 0 and m.put("a", "aaa").count() == 0 and seen == []
+    assert [r.status for r in m.put("c", "ccc").collect()] == ["added"] and [r.status for r in m.put("a", "zzz").collect()] == ["modified"]
+    assert [r.status for r in m.remove("b").collect()] == ["deleted"]
+    with pytest.raises(KeyError):
+        m.remove("b")
+    for config in ("default", "small"):
+        assert {r.text for r in m.rows(config).collect()} == {"ccc", "zzz"}
+    assert set(flags(m).values()) == {("is_fresh",)} and seen == [("c", "added"), ("a", "modified"), ("b", "deleted")]
+    m.set_corpus({"a": "zzz", "d": "ddd"})
+    assert {(r.source_id, r.status) for r in m.diff().collect()} == {("a", "unchanged"), ("c", "deleted"), ("d", "added")}
+    assert {(r.source_id, r.status) for r in m.scan().collect()} == {("c", "deleted"), ("d", "added")} and m.scan().count() == 0
+    again = Manager(spark, {"a": "new"}, segment.Lines(), model(), store=m.store, auto_refresh=True)  # the registry outlives the manager
+    assert {(r.source_id, r.status) for r in again.scan().collect()} == {("a", "modified"), ("d", "deleted")}
+    with pytest.raises(TypeError):
+        Manager(spark, {"a": "aaa"}, segment.Lines(), model()).scan()
+
+
 def test_configurations_share_work(spark):
     m = Manager(spark, {"a": "one line", "b": "two line"}, segment.Lines(), model())
     other = m.register("small", segment.Lines(), HashingEmbedder(8))

@@ -118,6 +118,55 @@ def test_hashing(spark):
             embed.HashingEmbedder(**bad)
 
 
+def test_handles():
+    import threading
+
+    e = embed.FunctionEmbedder(lambda ts: [[len(t)] for t in ts], "len", 1)
+    done = e.embed_batch(iter(["a", "bb"]))
+    assert done.poll() == "done" and done.result().tolist() == [[1.0], [2.0]] and done.cancel() is None
+    gate = threading.Event()
+    slow = embed.FunctionEmbedder(lambda ts: gate.wait(60) and [[1.0]] * len(ts), "slow", 1).embed_batch(["a"], background=True)
+    assert slow.poll() == "pending"
+    gate.set()
+    assert slow.result().tolist() == [[1.0]] and slow.poll() == "done"
+    bad = embed.FunctionEmbedder(lambda ts: [[1.0]], "bad", 1).embed_batch(["a", "b"], background=True)
+    with pytest.raises(embed.EmbedderError):
+        bad.result()
+    assert bad.poll() == "failed"
+
+
+def test_hashing_query_against_an_independent_version(spark):
+    from marlstone import catalogue
+
+    texts = {str(r.doc_id): r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r.source_id: r.vector for r in catalogue.hashing_embed(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == texts.keys() and all(np.allclose(got[k], hashed(t, 256), atol=1e-5) for k, t in texts.items())
+
+
+def test_projection_query_against_singular_vectors(spark):
+    from marlstone import catalogue
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in rows], float)
+    x -= x.mean(0)
+    axes = np.linalg.svd(x, full_matrices=False)[2][:2]
+    axes *= np.sign(axes[np.arange(2), np.abs(axes).argmax(1)])[:, None]
+    got = {r.id: r.coords for r in catalogue.pca(spark, "/root/testdata/sf0.001").collect()}
+    assert np.allclose([got[r.vec_id] for r in rows], x @ axes.T, atol=1e-6)
+
+
+def test_clusters_query_is_a_fixed_point(spark):
+    from marlstone import catalogue
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    got = {r.id: r.label for r in catalogue.kmeans(spark, "/root/testdata/sf0.001").collect()}
+    x, label = np.array([r.embedding for r in rows], float), np.array([got[r.vec_id] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = np.array([x[label == k].mean(0) for k in range(8)])
+    d = ((x[:, None] - centres) ** 2).sum(2)
+    assert len(got) == len(rows) and (d[np.arange(len(x)), label] <= d.min(1) + 1e-3).all()
+
+
 def test_wrappers():
     calls = []
 
