@@ -8,9 +8,14 @@ that occur in at least T - L of them; the long lists are probed for just those b
 
 1. A sketch of fixed size counts in how many documents the grams occur. It gives all grams one order, rare first. Any order gives the right result;
    a good one keeps passages that many documents share out of the short lists.
-2. Each document sends its short lists' postings (all but its ceil(THETA * n) - 1 commonest grams) to buckets of grams. Each bucket merges
-   its lists; the occurrences of a pair, summed over buckets, must reach T - L. All pairs of documents are covered. Of those that reach it only a
-   spanning forest goes on.
+2. Grams are divided by hash into parts. If two sets have similarity THETA, so have what they hold of some part, as the whole's is between the least
+   and the greatest of the parts'. Each document sends its short lists' postings of each part (all but its ceil(THETA * n) - 1 commonest grams there) to the
+   group of that part, which so sees all hits of a pair in it: those that reach T - L, by sizes in the part, are candidates. No pair leaves its group
+   before that, and a group counts the pairs of few documents at a time. Only a spanning forest of the candidates goes on.
+   Groups are also by size (powers of 4, by the larger of a pair; a document that is near the next goes to both), and a size has as many parts as keep
+   a group at about POSTINGS, but none with fewer than PART_GRAMS grams of a document. Where that leaves a group too large, its grams are divided into
+   R ranges; in one of them a pair has the R-th part of its hits. With its postings a document carries BITS parities of its grams of the part; two
+   sets differ in at least as many grams as in parities, which refuses most of what the hits let pass.
 3. The surviving pairs' connected components are separate small corpora. In each, every document is a query: DivideSkip runs
    over the component's full inverted lists, and what it retains is the result. Counts there are those of the grams themselves. A component of more
    than COMPONENT_GRAMS grams is cut into blocks, and every two blocks are searched by themselves.
@@ -44,7 +49,11 @@ N = 2
 THETA = 0.6
 SKETCH_BITS = 22
 CHUNKS = 64
-POSTINGS = 2_000_000  # of a bucket, about
+POSTINGS = 8_000_000  # of a group, about
+PART_GRAMS = 32
+CLASSES = 16  # powers of 4
+PAIR_HITS = 2_000_000  # that a group counts at a time
+BITS = 256
 COMPONENT_GRAMS = 4_000_000  # that a search holds at most
 MU = 0.0085  # cost of a probe against a merge step, as in the published heuristic for L
 
@@ -114,8 +123,158 @@ def document_sketch(docs: DataFrame, n: int = N, bits: int = SKETCH_BITS) -> np.
     return out
 
 
+def _class_of(n: np.ndarray) -> np.ndarray:
+    """floor(log4(n)) of sizes of at least 1."""
+    return np.minimum((np.frexp(np.asarray(n, float))[1] - 1) // 2, CLASSES - 1)
+
+
+def _near_next(n, k, theta: float):
+    """Whether a document of class k may be similar to one of the next class."""
+    return (k < CLASSES - 1) & (n >= 4.0 ** (k + 1) * theta - 1e-9)
+
+
+class Groups:
+    """How many parts each class has and how many ranges each part, from the class's postings. Groups are numbered by class, part and range."""
+
+    def __init__(self, postings):
+        postings = np.asarray(postings, np.int64)
+        least = 4 ** np.arange(CLASSES)
+        # parities tell sets of up to about BITS / 2 grams apart, so no part has more even if there are few documents
+        self.parts = np.clip(-(-postings // POSTINGS), np.maximum(1, 8 * least // BITS), np.maximum(1, least // PART_GRAMS))
+        self.ranges = np.maximum(1, -(-postings // (self.parts * POSTINGS)))
+        self.begin = np.cumsum(self.parts * self.ranges) - self.parts * self.ranges
+        self.tasks = max(12, int((-(-4 * postings // POSTINGS)).sum()))
+
+    def of(self, group: int) -> tuple[int, int]:
+        """Class and ranges of a group."""
+        k = int(np.searchsorted(self.begin, group, "right")) - 1
+        return k, int(self.ranges[k])
+
+
+def _parities(grams: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """BITS parities of each run of grams, as 64-bit words: bit x tells whether the number of grams that hash to x is odd."""
+    at = mix(grams ^ np.uint64(0xA5A5A5A5)) % np.uint64(BITS)
+    ones = np.uint64(1) << (at % np.uint64(64))
+    word = at // np.uint64(64)
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == w, ones, np.uint64(0)), head) for w in range(BITS // 64)], axis=1)
+
+
+def _group_rows(held: list, groups: Groups, theta: float, sketch: np.ndarray, bits: int):
+    """One row for each group: its documents (signature, size, size in the part, how many grams here, parities) and the lower halves of their short lists' grams."""
+    grams, sizes, sigs = (np.concatenate(x) for x in zip(*held))
+    begin = np.cumsum(sizes) - sizes
+    some = np.flatnonzero(sizes)
+    own = _class_of(sizes[some])
+    near = _near_next(sizes[some], own, theta)
+    doc, kind = np.concatenate([some, some[near]]), np.concatenate([own, own[near] + 1])
+    for k in np.unique(kind).tolist():
+        docs = doc[kind == k]
+        n = sizes[docs]
+        owner = np.repeat(np.arange(len(docs)), n)
+        gram = grams[np.repeat(begin[docs] - np.cumsum(n) + n, n) + np.arange(len(owner))]
+        part = ((gram >> np.uint64(32)) * np.uint64(groups.parts[k]) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((gram, sketch[(gram >> np.uint64(64 - bits)).astype(np.int64)], owner, part))
+        gram, owner, part = gram[order], owner[order], part[order]
+        head, inside = _runs(part * len(docs) + owner)
+        parities = _parities(gram, head)
+        member = np.repeat(np.arange(len(head)), inside)
+        short = np.arange(len(gram)) - head[member] < (inside - least_size(inside, theta) + 1)[member]
+        low, member = (gram[short] & np.uint64(0xFFFFFFFF)).astype(np.uint32), member[short]
+        del gram, order, short
+        ranges = int(groups.ranges[k])
+        group = groups.begin[k] + part[head][member] * ranges + low % np.uint32(ranges)
+        order = np.lexsort((member, group))
+        low, member, group = low[order], member[order], group[order]
+        at, here = _runs(group * len(head) + member)
+        who = member[at]
+        first, many = _runs(group[at])
+        spans = list(zip(first.tolist(), (first + many).tolist()))
+        edge = np.append(at, len(low))
+        of = docs[owner[head]][who]
+        columns = [[x[a:b].tobytes() for a, b in spans] for x in (sigs[of], sizes[of].astype(np.int32), inside[who].astype(np.int32), here.astype(np.int32), parities[who])]
+        columns.append([low[edge[a] : edge[b]].tobytes() for a, b in spans])
+        yield pa.record_batch([pa.array(group[at][first], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "docs", "sizes", "inside", "here", "parities", "grams"])
+
+
+def _group_pairs(batches, theta: float, groups: Groups):
+    """Spanning forests of each group's candidates. One group is in memory at a time."""
+    held, size = [], 0
+    for group, rows in _by_key(batches):
+        kinds = (np.uint64, np.int32, np.int32, np.int32, np.uint64, np.uint32)
+        held.append(_candidates(*(np.concatenate([np.frombuffer(r[k].as_buffer(), kind) for r in rows]) for k, kind in enumerate(kinds)), theta, *groups.of(group)))
+        size += len(held[-1])
+        if size > 1 << 18 or len(held) > 1 << 12:
+            yield _edges(held)
+            held, size = [], 0
+    if size:
+        yield _edges(held)
+
+
+def _edges(held: list[np.ndarray]) -> pa.RecordBatch:
+    edges = forest(np.concatenate(held))
+    return pa.record_batch({"u": edges[:, 0], "v": edges[:, 1]})
+
+
+def _candidates(docs, sizes, inside, here, parities, grams, theta: float, kind: int, ranges: int) -> np.ndarray:
+    """A spanning forest of a group's pairs that have hits and parities enough. Documents are numbered by size; those of each slice are paired with all
+    later ones that fit."""
+    begin = np.cumsum(here) - here
+    names, first = np.unique(docs, return_index=True)  # copies have the same name
+    by = np.argsort(sizes[first], kind="stable")
+    names, first = names[by], first[by]
+    n, m, many = sizes[first].astype(np.int64), inside[first].astype(np.int64), here[first].astype(np.int64)
+    parities = parities.reshape(-1, BITS // 64)[first]
+    edge = np.concatenate([[0], np.cumsum(many)])
+    grams = grams[np.repeat(begin[first] - edge[:-1], many) + np.arange(edge[-1])]  # by document
+    keys = np.empty(len(grams), np.uint64)
+    keys.view(np.uint32).reshape(-1, 2)[:, 0] = np.repeat(np.arange(len(names), dtype=np.uint32), many)
+    keys.view(np.uint32).reshape(-1, 2)[:, 1] = grams
+    keys.sort()  # by list, then document
+    del docs, sizes, inside, here, begin, first, by
+    limit = np.searchsorted(n, (n + 1e-9) / theta, "right")
+    least = int(np.searchsorted(n, 4**kind))  # a pair of two lesser ones belongs to the class before
+    found, size = [], 0
+
+    def count(who, start, partners):
+        nonlocal found, size
+        a = np.repeat(who, partners)
+        b = (keys[np.repeat(start - np.cumsum(partners) + partners, partners) + np.arange(len(a))] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        ok = (np.minimum(m[a], m[b]) >= theta * np.maximum(m[a], m[b]) - 1e-9) & (a != b)  # equal if two grams of one have the same lower half
+        pairs = a[ok] * len(names) + b[ok]
+        pairs.sort()
+        head, hits = _runs(pairs)
+        a, b = np.divmod(pairs[head], len(names))
+        overlap = least_overlap(m[a], m[b], theta)
+        ok = hits * ranges >= overlap - np.maximum(least_size(m[a], theta), least_size(m[b], theta)) + 1
+        a, b, overlap = a[ok], b[ok], overlap[ok]
+        ok = np.bitwise_count(parities[a] ^ parities[b]).sum(axis=1, dtype=np.int64) <= m[a] + m[b] - 2 * overlap
+        found.append(np.stack([names[a[ok]].view(np.int64), names[b[ok]].view(np.int64)], axis=1))
+        size += len(found[-1])
+        if size > 1 << 18:
+            found, size = [forest(np.concatenate(found))], 0
+
+    x = 0
+    while x < len(names):
+        y = max(x + 1, int(np.searchsorted(edge, edge[x] + (1 << 18), "right")) - 1)
+        who = np.repeat(np.arange(x, y), many[x:y])
+        lists = grams[edge[x] : edge[y]].astype(np.uint64) << np.uint64(32)
+        start = np.searchsorted(keys, lists | np.maximum(who + 1, least).astype(np.uint64))
+        partners = np.maximum(0, np.searchsorted(keys, lists | limit[who].astype(np.uint64)) - start)
+        upto = np.concatenate([[0], np.cumsum(partners)])[edge[x : y + 1] - edge[x]]  # by document
+        low = 0
+        while low < y - x:  # as many documents as have so many hits, or one
+            high = max(low + 1, int(np.searchsorted(upto, upto[low] + PAIR_HITS, "right")) - 1)
+            s = slice(edge[x + low] - edge[x], edge[x + high] - edge[x])
+            if upto[high] > upto[low]:
+                count(who[s], start[s], partners[s])
+            low = high
+        x = y
+    return forest(np.concatenate(found)) if found else np.zeros((0, 2), np.int64)
+
+
 def _posting_rows(held: list, buckets: int, theta: float, sketch: np.ndarray, bits: int):
-    """One row for each bucket: its documents (signature, size, how many grams) and their grams' lower halves."""
+    """One row for each bucket: its documents (signature, size, how many grams) and their grams' lower halves. With `_bucket_pairs` and `_likely_pairs` this is
+    another way to candidates, over whole sets: buckets of grams whose pairs are shuffled and summed. It is kept to test `_group_pairs` by."""
     grams, sizes, sigs = (np.concatenate(x) for x in zip(*held))
     owner = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((grams, sketch[(grams >> np.uint64(64 - bits)).astype(np.int64)], owner))
@@ -411,14 +570,23 @@ def _classes(own: DataFrame, n: int) -> DataFrame:
     return own.mapInArrow(run, "kid long, th long, sig long, n long")
 
 
+def _groups(documents: DataFrame, theta: float) -> Groups:
+    kind = F.least(F.floor((F.length(F.bin("n")) - 1) / 2), F.lit(CLASSES - 1))
+    each = documents.where("n > 0").select(kind.alias("k"), "n", (F.col("n") - F.ceil(F.lit(theta) * F.col("n") - F.lit(1e-9)) + 1).alias("short"))
+    each = each.select(F.explode(F.when(_near_next(F.col("n"), F.col("k"), theta), F.array("k", F.col("k") + 1)).otherwise(F.array("k"))).alias("k"), "short")
+    held = np.zeros(CLASSES, np.int64)
+    for r in each.groupBy("k").agg(F.sum("short").alias("short")).collect():
+        held[r.k] = r.short
+    return Groups(held)
+
+
 def _searched(docs: DataFrame, n: int, theta: float, id_col: str, text_col: str, report: Callable, schema: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents: kid, th, sig, n; classes: sig, first, weight; what `report` says of the groups of classes that may be similar)."""
     own = identified(docs, id_col, text_col)
     spark = docs.sparkSession
     documents = as_table(_classes(own, n), "ngram-classes")
     shared = spark.sparkContext.broadcast(document_sketch(own, n))
-    short = documents.where("n > 0").agg(F.sum(F.col("n") - F.ceil(F.lit(theta) * F.col("n") - F.lit(1e-9)) + 1)).first()[0] or 0
-    buckets = max(12, math.ceil(short / POSTINGS))
+    groups = _groups(documents, theta)
 
     def emit(batches):
         held, size = [], 0
@@ -426,14 +594,13 @@ def _searched(docs: DataFrame, n: int, theta: float, id_col: str, text_col: str,
             held.append(gram_sets(texts, n))
             size += len(held[-1][0])
             if size > 1 << 20:
-                yield _posting_rows(held, buckets, theta, shared.value, SKETCH_BITS)
+                yield from _group_rows(held, groups, theta, shared.value, SKETCH_BITS)
                 held, size = [], 0
         if size:
-            yield _posting_rows(held, buckets, theta, shared.value, SKETCH_BITS)
+            yield from _group_rows(held, groups, theta, shared.value, SKETCH_BITS)
 
-    postings = own.select("text").mapInArrow(emit, "bucket int, docs binary, sizes binary, lengths binary, grams binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    hits = postings.mapInArrow(lambda batches: _bucket_pairs(batches, theta, buckets), PAIRS).repartition(buckets, "part").sortWithinPartitions("part")
-    likely = as_table(hits.mapInArrow(lambda batches: _likely_pairs(batches, theta), "u long, v long"), "ngram-candidates")
+    postings = own.select("text").mapInArrow(emit, "bucket long, docs binary, sizes binary, inside binary, here binary, parities binary, grams binary").repartition(groups.tasks, "bucket").sortWithinPartitions("bucket")
+    likely = as_table(postings.mapInArrow(lambda batches: _group_pairs(batches, theta, groups), "u long, v long"), "ngram-candidates")
     classes = documents.where("n > 0").groupBy("sig").agg(F.min(F.struct("kid", "th")).alias("first"), F.count("*").alias("weight"), F.min("n").alias("n"))
     chosen = as_table(classes.join(components(likely), F.col("sig") == F.col("node")).select("component", "sig", "first.*", "weight", "n"), "ngram-chosen")
     # a component of more grams than a task should hold is cut into blocks, and every two blocks are searched by themselves

@@ -160,3 +160,52 @@ def test_edges(spark):
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept) == [(False, 0), (True, 1), (True, 2), (True, 3), (True, 5), (True, 7)]
     assert ngrams.join(df.limit(0)).count() == 0 and ngrams.keep_one(df.limit(0)).count() == 0
     assert ngrams.keep_one(df.where("doc_id = 4")).count() == 1
+
+
+def postings_of(sets, groups, theta=ngrams.THETA):
+    """Rows of _group_rows, by group, of sets of grams named 0, 1, ..."""
+    held = (np.concatenate(sets), np.array([len(s) for s in sets]), np.arange(len(sets), dtype=np.uint64))
+    rows = pa.Table.from_batches(ngrams._group_rows([held], groups, theta, np.zeros(1 << 8, np.uint8), 8))
+    return rows.sort_by("bucket").combine_chunks().to_batches()
+
+
+def test_parts_and_ranges_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "POSTINGS", 40)
+    monkeypatch.setattr(ngrams, "PART_GRAMS", 4)
+    monkeypatch.setattr(ngrams, "PAIR_HITS", 100)
+    docs = corpus(11, 200)
+    docs += [(len(docs) + i, t) for i, t in docs[::7]]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], SCHEMA)
+    groups = ngrams._groups(ngrams._classes(ngrams.identified(df, "doc_id", "text"), ngrams.N), ngrams.THETA)
+    assert groups.parts.max() > 4 and groups.ranges.max() > 2
+    assert joined(df) == grouped(docs)
+
+
+def test_groups_find_every_similar_pair(monkeypatch):
+    r = np.random.default_rng(12)
+    base = [np.unique(r.integers(0, 1 << 63, int(2 ** r.uniform(0, 10))).astype(np.uint64)) for _ in range(60)]
+    sets = [np.unique(np.where(r.random(len(b)) < x, r.integers(0, 1 << 63, len(b)).astype(np.uint64), b)) for b in base for x in (0, 0.08, 0.2, 0.24, 0.3)]
+    sets += [s[r.random(len(s)) < 0.62] for s in sets if len(s) > 40]
+    want = {(min(i, j), max(i, j)) for i, j, _ in ngrams.divide_skip(sets, ngrams.THETA)}
+    for postings, hits in ((2_000_000, 2_000_000), (300, 50), (30, 50)):
+        monkeypatch.setattr(ngrams, "POSTINGS", postings)
+        monkeypatch.setattr(ngrams, "PAIR_HITS", hits)
+        groups = ngrams.Groups(np.full(ngrams.CLASSES, 3000))
+        edges = [(e["u"], e["v"]) for x in ngrams._group_pairs(postings_of(sets, groups), ngrams.THETA, groups) for e in x.to_pylist()]
+        root = dict(ngrams.forest(np.array(edges)).tolist())
+        assert len(want) > 200 and all(root.get(a, a) == root.get(b, b) for a, b in want)
+
+
+def sharing(documents, shared, own=20):
+    """Sets of grams of their own, and the same few rarest ones in all."""
+    r = np.random.default_rng(13)
+    few = np.arange(1, shared + 1, dtype=np.uint64)
+    return [np.concatenate([few, np.unique(r.integers(1 << 40, 1 << 63, own).astype(np.uint64))]) for _ in range(documents)]
+
+
+def test_pairs_with_few_hits_do_not_leave_their_group():
+    groups = ngrams.Groups(np.full(ngrams.CLASSES, 1000))
+    rows = postings_of(sharing(1500, 2), groups)
+    assert not list(ngrams._group_pairs(rows, ngrams.THETA, groups))
+    rows = postings_of(sharing(1500, 6), groups)  # hits enough, but parities that differ
+    assert not list(ngrams._group_pairs(rows, ngrams.THETA, groups))
