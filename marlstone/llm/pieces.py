@@ -7,9 +7,9 @@ bytes (or to the unknown piece where the vocabulary has no bytes).
 
 No piece of such a vocabulary holds a space mark after another character (checked on loading), so no merge crosses
 from a word into the next one's mark, and a text can be cut there, and at line feeds where no piece of more than one character has one. Each
-distinct chunk runs through the agenda once for as long as it is remembered; two generations of a bounded dictionary hold results. In
-each Arrow batch the chunks met for the first time are also encoded by the sentencepiece library and compared, and so is, as a whole, every text whose hash is divisible
-by WHOLE (1 compares all; the library takes about as long as the agenda).
+distinct chunk runs through the agenda once for as long as it is remembered; two generations of a bounded dictionary hold results. Every
+text is also encoded as a whole by the sentencepiece library and compared. If `whole` is more than 1, only texts whose hash is divisible by it are, and the chunks that
+an Arrow batch meets for the first time.
 
 Decoding refuses ids outside the vocabulary. Defined cases: a null text has null ids and counts, and agrees; an empty text has no ids. A literal space mark (U+2581) is the
 same symbol as a space, so decoding gives a space (round_trip is then false). Repeated rows and null ids keep their rows. Extra columns are
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 MODEL = os.environ.get("MARLSTONE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 REMEMBER = 150_000
-WHOLE = 16
+WHOLE = 1
 LONGEST = 48
 
 
@@ -232,7 +232,7 @@ def _rows(path: str, doc_ids, texts: list[str | None], check: bool, whole: int =
 
     packed = [None if t is None else pack(t) for t in texts]
     agrees = [True] * len(texts)
-    if check and chunks.fresh:
+    if check and whole > 1 and chunks.fresh:  # else the whole texts tell
         fresh = list(dict.fromkeys(chunks.fresh))
         wrong = {c for c, e in zip(fresh, pieces.expected(fresh)) if array("i", e).tobytes() != (chunks.get(c) or chunks.make(c))}
         if wrong:  # forgotten, so that the next batch meets them anew and flags its documents too
@@ -256,8 +256,8 @@ def _rows(path: str, doc_ids, texts: list[str | None], check: bool, whole: int =
 
 
 def encode(docs: DataFrame, model: str = MODEL, check: bool = True, whole: int = WHOLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, n_ids, round_trip (decoding gives the text back) and agrees (every chunk first met in its Arrow batch, and the whole text if
-    it is one of those compared, got the library's ids)."""
+    """doc_id, ids, n_ids, round_trip (decoding gives the text back) and agrees (the text got the library's ids; with `whole` above 1, every chunk first met
+    in its Arrow batch did, and the whole text if it is one of those compared)."""
 
     def run(batches):
         for b in batches:

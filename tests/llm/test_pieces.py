@@ -51,6 +51,17 @@ def test_a_wrong_cut_is_noticed(monkeypatch):
     assert not rows[0]["agrees"] and rows[1]["agrees"]
 
 
+def test_every_whole_text_is_compared(monkeypatch):
+    p = pieces.Pieces(pieces.MODEL)
+    p.chunks = lambda t: [t[:3], t[3:]] if len(t) > 3 else [t]
+    chunks = pieces._Chunks(p, 1000)
+    monkeypatch.setitem(pieces._LOADED, "cut", (p, chunks, pieces._Words(p, chunks, 1000)))
+    texts = [f"something of length {k}" for k in range(40)]
+    for _ in range(2):  # the second time all chunks are remembered
+        rows = pieces._rows("cut", pa.array(range(40)), texts, True).to_pylist()
+        assert not any(r["agrees"] for r in rows)
+
+
 def test_ids_outside_the_vocabulary_are_refused():
     p = pieces.Pieces(pieces.MODEL)
     for ids in ([-1], [len(p.lengths)]):
