@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -209,3 +210,14 @@ def test_pairs_with_few_hits_do_not_leave_their_group():
     assert not list(ngrams._group_pairs(rows, ngrams.THETA, groups))
     rows = postings_of(sharing(1500, 6), groups)  # hits enough, but parities that differ
     assert not list(ngrams._group_pairs(rows, ngrams.THETA, groups))
+
+
+def test_a_group_holds_few_pairs_at_a_time(monkeypatch):
+    monkeypatch.setattr(ngrams, "PAIR_HITS", 200_000)
+    groups = ngrams.Groups(np.full(ngrams.CLASSES, 1000))
+    rows = postings_of(sharing(3000, 3), groups)
+    tracemalloc.start()
+    found = list(ngrams._group_pairs(rows, ngrams.THETA, groups))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not found and peak < 50e6  # 13.5 million hits of 4.5 million pairs
