@@ -157,17 +157,19 @@ def forest(pairs: np.ndarray) -> np.ndarray:
     """Edges (node, least node of its tree) with the same components as the given edges."""
     names, flat = np.unique(pairs, return_inverse=True)
     parent = list(range(len(names)))
-    for a, b in flat.reshape(-1, 2).tolist():
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        while parent[b] != b:
-            parent[b] = parent[parent[b]]
-            b = parent[b]
-        if a < b:
-            parent[b] = a
-        elif b < a:
-            parent[a] = b
+    flat = flat.reshape(-1, 2)
+    for k in range(0, len(flat), 1 << 14):  # few edges are Python objects at a time
+        for a, b in flat[k : k + (1 << 14)].tolist():
+            while parent[a] != a:
+                parent[a] = parent[parent[a]]
+                a = parent[a]
+            while parent[b] != b:
+                parent[b] = parent[parent[b]]
+                b = parent[b]
+            if a < b:
+                parent[b] = a
+            elif b < a:
+                parent[a] = b
     for i in range(len(parent)):
         parent[i] = parent[parent[i]]
     root = np.array(parent, np.int64) if parent else np.zeros(0, np.int64)

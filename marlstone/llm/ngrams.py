@@ -35,6 +35,8 @@ from __future__ import annotations
 
 import heapq
 import math
+import os
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -53,6 +55,7 @@ POSTINGS = 8_000_000  # of a group, about
 PART_GRAMS = 32
 CLASSES = 16  # powers of 4
 PAIR_HITS = 2_000_000  # that a group counts at a time
+SLICE = 1 << 18  # postings, hits or pairs that are looked at together
 BITS = 256
 COMPONENT_GRAMS = 4_000_000  # that a search holds at most
 MU = 0.0085  # cost of a probe against a merge step, as in the published heuristic for L
@@ -196,80 +199,126 @@ def _group_rows(held: list, groups: Groups, theta: float, sketch: np.ndarray, bi
         yield pa.record_batch([pa.array(group[at][first], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "docs", "sizes", "inside", "here", "parities", "grams"])
 
 
+def _spooled(batches, kinds):
+    """(key, an array for each binary column) of rows that come ordered by their first column. The columns of a key are gathered in files among Spark's own
+    and mapped, so a key of any size takes no memory of its own."""
+    now, files = None, []
+    place = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+
+    def mapped():
+        for f in files:
+            f.flush()
+        return [np.asarray(np.memmap(f, kind, "r")) for f, kind in zip(files, kinds)]
+
+    for b in batches:
+        for k, key in enumerate(b.column(0).to_pylist()):
+            if key != now:
+                if files:
+                    yield now, mapped()
+                for f in files:
+                    f.close()
+                now, files = key, [tempfile.TemporaryFile(dir=place if os.path.isdir(place) else None) for _ in kinds]
+            for f, c in zip(files, b.columns[1:]):
+                f.write(c[k].as_buffer())
+    if files:
+        yield now, mapped()
+
+
 def _group_pairs(batches, theta: float, groups: Groups):
-    """Spanning forests of each group's candidates. One group is in memory at a time."""
+    """Spanning forests of the groups' candidates. Of one group at a time, what its search needs is in memory."""
     held, size = [], 0
-    for group, rows in _by_key(batches):
-        kinds = (np.uint64, np.int32, np.int32, np.int32, np.uint64, np.uint32)
-        held.append(_candidates(*(np.concatenate([np.frombuffer(r[k].as_buffer(), kind) for r in rows]) for k, kind in enumerate(kinds)), theta, *groups.of(group)))
-        size += len(held[-1])
-        if size > 1 << 18 or len(held) > 1 << 12:
-            yield _edges(held)
-            held, size = [], 0
+    for group, columns in _spooled(batches, (np.uint64, np.int32, np.int32, np.int32, np.uint64, np.uint32)):
+        for edges in _candidates(*columns, theta, *groups.of(group)):
+            held.append(edges)
+            size += len(edges)
+            if size > SLICE or len(held) > 1 << 12:
+                held = [forest(np.concatenate(held))]
+                size = len(held[0])
+                if size > SLICE // 2:  # it no longer shrinks: pass it on
+                    yield _edges(held[0])
+                    held, size = [], 0
     if size:
-        yield _edges(held)
+        yield _edges(forest(np.concatenate(held)))
 
 
-def _edges(held: list[np.ndarray]) -> pa.RecordBatch:
-    edges = forest(np.concatenate(held))
+def _edges(edges: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch({"u": edges[:, 0], "v": edges[:, 1]})
 
 
-def _candidates(docs, sizes, inside, here, parities, grams, theta: float, kind: int, ranges: int) -> np.ndarray:
-    """A spanning forest of a group's pairs that have hits and parities enough. Documents are numbered by size; those of each slice are paired with all
-    later ones that fit."""
-    begin = np.cumsum(here) - here
-    names, first = np.unique(docs, return_index=True)  # copies have the same name
-    by = np.argsort(sizes[first], kind="stable")
-    names, first = names[by], first[by]
-    n, m, many = sizes[first].astype(np.int64), inside[first].astype(np.int64), here[first].astype(np.int64)
-    parities = parities.reshape(-1, BITS // 64)[first]
-    edge = np.concatenate([[0], np.cumsum(many)])
-    grams = grams[np.repeat(begin[first] - edge[:-1], many) + np.arange(edge[-1])]  # by document
-    keys = np.empty(len(grams), np.uint64)
-    keys.view(np.uint32).reshape(-1, 2)[:, 0] = np.repeat(np.arange(len(names), dtype=np.uint32), many)
-    keys.view(np.uint32).reshape(-1, 2)[:, 1] = grams
-    keys.sort()  # by list, then document
-    del docs, sizes, inside, here, begin, first, by
-    limit = np.searchsorted(n, (n + 1e-9) / theta, "right")
+def _candidates(docs, sizes, inside, here, parities, grams, theta: float, kind: int, ranges: int):
+    """A group's pairs that have hits and parities enough, in arrays. Documents are numbered by size; those of each slice are paired with all later ones that
+    fit. Besides slices, 28 bytes a document and 8 a posting are in memory."""
+    _, first = np.unique(docs, return_index=True)  # copies have the same name
+    first = first[np.argsort(sizes[first], kind="stable")].astype(np.int32)
+    begin = (np.cumsum(here) - here)[first]
+    n, m = sizes[first], inside[first]
+    edge = np.concatenate([[0], np.cumsum(here[first])])
     least = int(np.searchsorted(n, 4**kind))  # a pair of two lesser ones belongs to the class before
-    found, size = [], 0
+    keys = np.empty(edge[-1], np.uint64)
+    partner = keys.view(np.uint32)[::2]
+
+    def blocks():
+        """(first document, end, their grams, whose these are)."""
+        x = 0
+        while x < len(n):
+            y = max(x + 1, int(np.searchsorted(edge, edge[x] + SLICE, "right")) - 1)
+            many = np.diff(edge[x : y + 1])
+            yield x, y, grams[np.repeat(begin[x:y] - edge[x:y], many) + np.arange(edge[x], edge[y])], np.repeat(np.arange(x, y), many)
+            x = y
+
+    for x, y, lists, who in blocks():
+        keys[edge[x] : edge[y]] = lists.astype(np.uint64) << np.uint64(32) | who.astype(np.uint64)
+    keys.sort()  # by list, then document
 
     def count(who, start, partners):
-        nonlocal found, size
-        a = np.repeat(who, partners)
-        b = (keys[np.repeat(start - np.cumsum(partners) + partners, partners) + np.arange(len(a))] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        ok = (np.minimum(m[a], m[b]) >= theta * np.maximum(m[a], m[b]) - 1e-9) & (a != b)  # equal if two grams of one have the same lower half
-        pairs = a[ok] * len(names) + b[ok]
+        upto = np.concatenate([[0], np.cumsum(partners)])
+        pairs, held = np.empty(upto[-1], np.uint64), 0
+        for low in range(0, len(pairs), SLICE):
+            high = min(low + SLICE, len(pairs))
+            s = slice(int(np.searchsorted(upto, low, "right")) - 1, int(np.searchsorted(upto, high)))
+            skip = np.maximum(upto[s], low)
+            many = np.minimum(upto[s.start + 1 : s.stop + 1], high) - skip
+            a = np.repeat(who[s], many)
+            b = partner[np.repeat(start[s] - upto[s] + low, many) + np.arange(high - low)].astype(np.int64)
+            ok = (np.minimum(m[a], m[b]) >= theta * np.maximum(m[a], m[b]) - 1e-9) & (a != b)  # equal if two grams of one have the same lower half
+            a, b = a[ok].astype(np.uint64), b[ok].astype(np.uint64)
+            pairs[held : held + len(a)] = a << np.uint64(32) | b
+            held += len(a)
+        pairs = pairs[:held]
         pairs.sort()
         head, hits = _runs(pairs)
-        a, b = np.divmod(pairs[head], len(names))
-        overlap = least_overlap(m[a], m[b], theta)
-        ok = hits * ranges >= overlap - np.maximum(least_size(m[a], theta), least_size(m[b], theta)) + 1
-        a, b, overlap = a[ok], b[ok], overlap[ok]
-        ok = np.bitwise_count(parities[a] ^ parities[b]).sum(axis=1, dtype=np.int64) <= m[a] + m[b] - 2 * overlap
-        found.append(np.stack([names[a[ok]].view(np.int64), names[b[ok]].view(np.int64)], axis=1))
-        size += len(found[-1])
-        if size > 1 << 18:
-            found, size = [forest(np.concatenate(found))], 0
-
-    x = 0
-    while x < len(names):
-        y = max(x + 1, int(np.searchsorted(edge, edge[x] + (1 << 18), "right")) - 1)
-        who = np.repeat(np.arange(x, y), many[x:y])
-        lists = grams[edge[x] : edge[y]].astype(np.uint64) << np.uint64(32)
+        for low in range(0, len(head), SLICE):
+            s = slice(low, low + SLICE)
+            a = (pairs[head[s]] >> np.uint64(32)).astype(np.int64)
+            b = (pairs[head[s]] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            overlap = least_overlap(m[a], m[b], theta)
+            ok = hits[s] * ranges >= overlap - np.maximum(least_size(m[a], theta), least_size(m[b], theta)) + 1
+            a, b, overlap = a[ok], b[ok], overlap[ok]
+            most = m[a] + m[b] - 2 * overlap
+            a, b = first[a], first[b]
+            ok = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= most
+            if ok.any():
+                yield np.stack([docs[a[ok]].view(np.int64), docs[b[ok]].view(np.int64)], axis=1)
+
+    words = parities.reshape(-1, BITS // 64)
+    for x, y, lists, who in blocks():
+        lists = lists.astype(np.uint64) << np.uint64(32)
+        limit = np.searchsorted(n, (n[x:y] + 1e-9) / theta, "right")
         start = np.searchsorted(keys, lists | np.maximum(who + 1, least).astype(np.uint64))
-        partners = np.maximum(0, np.searchsorted(keys, lists | limit[who].astype(np.uint64)) - start)
+        partners = np.maximum(0, np.searchsorted(keys, lists | limit[who - x].astype(np.uint64)) - start)
         upto = np.concatenate([[0], np.cumsum(partners)])[edge[x : y + 1] - edge[x]]  # by document
         low = 0
         while low < y - x:  # as many documents as have so many hits, or one
             high = max(low + 1, int(np.searchsorted(upto, upto[low] + PAIR_HITS, "right")) - 1)
             s = slice(edge[x + low] - edge[x], edge[x + high] - edge[x])
-            if upto[high] > upto[low]:
-                count(who[s], start[s], partners[s])
+            if upto[high] - upto[low] > PAIR_HITS:  # one, with some of its partners at a time
+                step = max(1, PAIR_HITS // (s.stop - s.start))
+                for p in range(max(x + low + 1, least), limit[low], step):
+                    begins, ends = (np.searchsorted(keys, lists[s] | np.uint64(q)) for q in (p, min(p + step, limit[low])))
+                    yield from count(who[s], begins, ends - begins)
+            elif upto[high] > upto[low]:
+                yield from count(who[s], start[s], partners[s])
             low = high
-        x = y
-    return forest(np.concatenate(found)) if found else np.zeros((0, 2), np.int64)
 
 
 def _posting_rows(held: list, buckets: int, theta: float, sketch: np.ndarray, bits: int):
@@ -466,7 +515,10 @@ def divide_skip(sets: list[np.ndarray], theta: float, mu: float = MU, block: np.
     owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes[rank])
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
-    names, start, length = np.unique(grams, return_index=True, return_counts=True)
+    del order
+    start, length = _runs(grams)
+    names = grams[start]
+    del grams
     ordered = sizes[rank]
     blocks = None if block is None else np.asarray(block)[rank]
     for q in range(1, len(sets)):

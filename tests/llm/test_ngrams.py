@@ -221,3 +221,31 @@ def test_a_group_holds_few_pairs_at_a_time(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert not found and peak < 50e6  # 13.5 million hits of 4.5 million pairs
+
+
+def test_a_large_group_is_not_held_whole():
+    groups = ngrams.Groups(np.full(ngrams.CLASSES, 1000))
+    r = np.random.default_rng(14)
+    n, kept = 500_000, 10_000
+    parities, low = r.integers(0, 1 << 63, 4 * n).astype(np.uint64), r.integers(0, 1 << 32, 3 * n).astype(np.uint32)
+    parities[-4:], low[-3:] = parities[:4], low[:3]  # the last document is like the first
+    columns = [np.arange(n, dtype=np.uint64), *(np.full(n, x, np.int32) for x in (64, 13, 3)), parities, low]
+    rows = [[x[k * len(x) // n : (k + kept) * len(x) // n].tobytes() for x in columns] for k in range(0, n, kept)]
+    batch = pa.record_batch([pa.array([int(groups.begin[3])] * len(rows)), *(pa.array(c, pa.binary()) for c in zip(*rows))], names=["bucket", "docs", "sizes", "inside", "here", "parities", "grams"])
+    del columns, rows, parities, low
+    tracemalloc.start()
+    found = [e for x in ngrams._group_pairs([batch], ngrams.THETA, groups) for e in x.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [{"u": n - 1, "v": 0}] and peak < 65e6  # a group of 32 MB in its rows
+
+
+def test_search_holds_postings_once():
+    r = np.random.default_rng(15)
+    sets = [np.unique(r.integers(0, 1 << 63, 100_000).astype(np.uint64)) for _ in range(10)]
+    sets.append(sets[0][1000:])
+    tracemalloc.start()
+    found = list(ngrams.divide_skip(sets, ngrams.THETA))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 10, len(sets[10]))] and peak < 60e6  # 1.1 million postings
