@@ -7,9 +7,9 @@ bytes (or to the unknown piece where the vocabulary has no bytes).
 
 No piece of such a vocabulary holds a space mark after another character (checked on loading), so no merge crosses
 from a word into the next one's mark, and a text can be cut there, and at line feeds where no piece of more than one character has one. Each
-distinct chunk runs through the agenda once for as long as it is remembered; two generations of a bounded dictionary hold results. Every
-text is also encoded as a whole by the sentencepiece library and compared. If `whole` is more than 1, only texts whose hash is divisible by it are, and the chunks that
-an Arrow batch meets for the first time.
+distinct chunk runs through the agenda once for as long as it is remembered; two generations of a bounded dictionary hold results. The agendas of all
+short chunks that are new in a batch are rows of a matrix, and in each round every row merges its best pair. Every text is also encoded as a whole by the
+sentencepiece library and compared. If `whole` is more than 1, only texts whose hash is divisible by it are, and the chunks that an Arrow batch meets for the first time.
 
 Decoding refuses ids outside the vocabulary. Defined cases: a null text has null ids and counts, and agrees; an empty text has no ids. A literal space mark (U+2581) is the
 same symbol as a space, so decoding gives a space (round_trip is then false). Repeated rows and null ids keep their rows. Extra columns are
@@ -23,6 +23,7 @@ import math
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,9 @@ MARK = "▁"
 REMEMBER = 150_000
 WHOLE = 1
 LONGEST = 48
+TOGETHER = 8192
+POINTS = 0x110000
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
@@ -82,6 +86,112 @@ class Pieces:
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.lengths = np.array([len(b) for b in self.bytes_of])
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.file_pairs()
+
+    def file_pairs(self) -> None:
+        """Numbers for symbols (ids, and after them the characters that are no piece) and a hash table from two symbols to the id of their union."""
+        size = len(self.lengths)
+        self.number = np.arange(size, size + POINTS)
+        self.nothing = size + POINTS  # stands beside the first and the last symbol and joins with none
+        self.score = np.full(size + 1, -np.inf)  # the last for no union, -1
+        for p, k in self.ids.items():
+            self.score[k] = self.scores[p]
+            if len(p) == 1:
+                self.number[ord(p)] = k
+        symbol = lambda x: int(self.number[ord(x)]) if len(x) == 1 else self.ids.get(x)
+        halves = [(symbol(p[:i]), symbol(p[i:]), k) for p, k in self.ids.items() for i in range(1, len(p))]
+        left, right, union = np.array([h for h in halves if None not in h[:2]], np.int64).reshape(-1, 3).T
+        keys = left * (self.nothing + 1) + right
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slots, self.unions = np.full(1 << bits, -1), np.full(1 << bits, -1)
+        at = self.slot(keys)
+        while len(keys):  # a key goes to the first free slot from its own
+            free = np.flatnonzero(self.slots[at] < 0)
+            taken, first = np.unique(at[free], return_index=True)
+            self.slots[taken], self.unions[taken] = keys[free[first]], union[free[first]]
+            rest = self.slots[at] != keys
+            keys, union, at = keys[rest], union[rest], at[rest] + 1 & len(self.slots) - 1
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * SPREAD >> self.shift).view(np.int64)
+
+    def union(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ids of the pieces that pairs of symbols make, -1 where they make none."""
+        keys = left * (self.nothing + 1) + right
+        at = self.slot(keys)
+        found = self.slots[at]
+        out = np.where(found == keys, self.unions[at], -1)
+        rest = np.flatnonzero((found != keys) & (found >= 0))
+        at = at[rest]
+        while len(rest):
+            at = at + 1 & len(self.slots) - 1
+            found = self.slots[at]
+            hit = found == keys[rest]
+            out[rest[hit]] = self.unions[at[hit]]
+            on = ~hit & (found >= 0)
+            rest, at = rest[on], at[on]
+        return out
+
+    def agendas(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each of many short texts in which spaces are marks already."""
+        order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
+        out = [b""] * len(texts)
+        for k in range(0, len(order), TOGETHER):
+            part = order[k : k + TOGETHER]
+            for i, ids in zip(part, self.together([texts[i] for i in part])):
+                out[i] = ids
+        return out
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        """A row of the matrix is a text: its symbols stay where their first character stood, with the places of their neighbours and the score of the pair that each begins."""
+        sizes = np.array([len(t) for t in texts])
+        width = int(sizes.max(initial=0)) + 2
+        columns = np.arange(width)
+        alive = (columns > 0) & (columns <= sizes[:, None])
+        symbol = np.full(alive.shape, self.nothing)
+        symbol[alive] = self.number[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        joined = np.full(alive.shape, -1)
+        joined[:, :-1] = self.union(symbol[:, :-1].ravel(), symbol[:, 1:].ravel()).reshape(-1, width - 1)
+        agenda = self.score[joined]
+        symbol, joined, alive = symbol.ravel(), joined.ravel(), alive.ravel()
+        left = np.arange(len(symbol)) - 1
+        right = left + 2
+        base = np.arange(len(texts)) * width  # of the rows that are still in the agenda
+        while len(base):
+            best = agenda.argmax(axis=1)
+            flat = agenda.ravel()
+            at = np.arange(len(base)) * width + best
+            on = np.flatnonzero(flat[at] > -np.inf)
+            if len(on) < 0.7 * len(base):
+                agenda, base, best = agenda[on], base[on], best[on]
+                flat, on = agenda.ravel(), np.arange(len(base))
+            start, first = base[on], base[on] + best[on]
+            move = on * width - start  # from a place among all rows to one in the agenda
+            second = right[first]
+            after, before = right[second], left[first]
+            union = symbol[first] = joined[first]
+            alive[second] = False
+            right[first], left[after] = after, first
+            flat[second + move] = -np.inf
+            for place, pair in ((first, self.union(union, symbol[after])), (before, self.union(symbol[before], union))):
+                joined[place] = pair
+                flat[place + move] = self.score[pair]
+        kept = symbol[alive]
+        counts = alive.reshape(-1, width).sum(axis=1)
+        ends = np.cumsum(counts)
+        strange = np.flatnonzero(kept >= len(self.lengths))
+        if len(strange):  # a character that is no piece becomes what lookup gives for it
+            points = (kept[strange] - len(self.lengths)).tolist()
+            found = {c: self.lookup(chr(c)) for c in set(points)}
+            given = [found[c] for c in points]
+            times = np.ones(len(kept), np.int64)
+            times[strange] = [len(g) for g in given]
+            ends = np.concatenate([[0], np.cumsum(times)])[ends]
+            kept = np.repeat(kept, times)
+            kept[kept >= len(self.lengths)] = [k for g in given for k in g]
+        packed, ends = kept.astype(np.int32).tobytes(), (4 * ends).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
     def agenda(self, text: str) -> list[int]:
         """Ids of a text in which spaces are marks already. A short text's agenda is a list in the order of the symbols, a longer one's a heap."""
@@ -183,6 +293,18 @@ class _Chunks(dict):
             self[chunk] = packed
         return packed
 
+    def fill(self, chunks: set[str]) -> None:
+        """Remembers the short ones of these, so that none is met alone."""
+        new = chunks.difference(self)
+        known = new.intersection(self.old)
+        self.update(zip(known, map(self.old.__getitem__, known)))
+        short = [c for c in new - known if len(c) <= LONGEST]
+        self.update(zip(short, self.make_all(short)))
+
+    def make_all(self, chunks: list[str]) -> list[bytes]:
+        self.fresh += chunks
+        return self.pieces.agendas(chunks)
+
     def turn(self) -> None:
         self.fresh = []
         if len(self) > self.most:
@@ -200,10 +322,25 @@ class _Words(_Chunks):
     def __init__(self, pieces: Pieces, chunks: _Chunks, most: int):
         super().__init__(pieces, most)
         self.chunks = chunks
+        self.made: tuple[list[str], list[bytes]] = [], []
 
     def make(self, word: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, self.pieces.chunks(MARK + word)))
 
+    def make_all(self, words: list[str]) -> list[bytes]:
+        marked = [MARK + w for w in words]
+        if self.pieces.chunks("".join(marked)) == marked:  # each is one chunk, which need not be remembered twice
+            self.chunks.fresh += marked
+            self.made = marked, self.pieces.agendas(marked)
+            return self.made[1]
+        parts = [self.pieces.chunks(w) for w in marked]
+        self.chunks.fill(set(chain.from_iterable(parts)))
+        return [b"".join(map(self.chunks.__getitem__, p)) for p in parts]
+
+    def turn(self) -> None:
+        self.made = [], []
+        super().turn()
+
 
 _LOADED: dict[str, tuple[Pieces, _Chunks, _Words]] = {}
 
@@ -223,26 +360,29 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_i
 def _rows(path: str, doc_ids, texts: list[str | None], check: bool, whole: int = WHOLE) -> pa.RecordBatch:
     pieces, chunks, words = loaded(path)
 
-    def pack(t: str) -> bytes:
-        if not t:
-            return b""
-        if pieces.dummy and "  " not in t and t[0] != " " and t[-1] != " " and MARK not in t:
-            return b"".join(map(words.__getitem__, t.split(" ")))
-        return b"".join(map(chunks.__getitem__, pieces.chunks(pieces.escape(t))))
+    def cut(t: str | None) -> tuple[_Chunks, list[str]]:
+        if t and pieces.dummy and "  " not in t and t[0] != " " and t[-1] != " " and MARK not in t:
+            return words, t.split(" ")
+        return chunks, pieces.chunks(pieces.escape(t)) if t else []
 
-    packed = [None if t is None else pack(t) for t in texts]
+    cuts = [cut(t) for t in texts]
+    for memory in (words, chunks):
+        memory.fill(set().union(*(c for m, c in cuts if m is memory)))
+    packed = [None if t is None else b"".join(map(m.__getitem__, c)) for t, (m, c) in zip(texts, cuts)]
+    del cuts
     agrees = [True] * len(texts)
     if check and whole > 1 and chunks.fresh:  # else the whole texts tell
         fresh = list(dict.fromkeys(chunks.fresh))
-        wrong = {c for c, e in zip(fresh, pieces.expected(fresh)) if array("i", e).tobytes() != (chunks.get(c) or chunks.make(c))}
+        made = dict(zip(*words.made))
+        wrong = {c for c, e in zip(fresh, pieces.expected(fresh)) if array("i", e).tobytes() != (made.get(c) or chunks.get(c) or chunks.make(c))}
         if wrong:  # forgotten, so that the next batch meets them anew and flags its documents too
             agrees = [t is None or wrong.isdisjoint(pieces.chunks(pieces.escape(t))) for t in texts]
             chunks.forget()
             words.forget()
     if check:
-        asked = [k for k, t in enumerate(texts) if t and xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) % whole == 0]
-        for k, e in zip(asked, pieces.library.encode([texts[k] for k in asked], num_threads=1)):
-            agrees[k] &= array("i", e).tobytes() == packed[k]
+        asked = [k for k, t in enumerate(texts) if t and (whole == 1 or xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) % whole == 0)]
+        for k in asked:
+            agrees[k] &= pieces.library.EncodeAsNumpy(texts[k]).astype(np.int32, copy=False).tobytes() == packed[k]
     chunks.turn()
     words.turn()
     counts = [None if p is None else len(p) // 4 for p in packed]

@@ -33,6 +33,33 @@ def test_both_agendas_agree():
         assert p.agenda(t) == p.heap_agenda(t)
 
 
+def test_agendas_together_agree():
+    p = pieces.Pieces(pieces.MODEL)
+    r = random.Random(6)
+    texts = ["", "▁", "a", "漢", "🙂🙂", "\n", "a" * 48, "▁" * 48, "e\u0301", "\0", "\ud800x"]
+    for signs in ("▁theingou aé", "ersan.,\n▁漢字🙂ß", "aab", "0123456789-▁"):
+        texts += ["".join(r.choice(signs) for _ in range(r.randint(0, 48))) for _ in range(400)]
+    r.shuffle(texts)
+    for some in (texts, texts[:1], []):
+        assert p.agendas(some) == [np.array(p.agenda(t), np.int32).tobytes() for t in some]
+
+
+def test_new_chunks_of_a_batch_are_not_met_alone(monkeypatch):
+    p = pieces.Pieces(pieces.MODEL)
+    chunks = pieces._Chunks(p, 300)
+    monkeypatch.setitem(pieces._LOADED, "alone", (p, chunks, pieces._Words(p, chunks, 300)))
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("einstrou.\né漢") for _ in range(r.randint(1, 20)))
+    texts = [(" " * (k % 3)).join(["", *(word() for _ in range(30)), ""])[k % 2 :].strip("x") + "y" * (100 * (k % 5 == 0)) for k in range(120)]
+    agenda, alone = p.agenda, []
+    monkeypatch.setattr(p, "agenda", lambda t: alone.append(t) or agenda(t))
+    for part in (texts[:40], texts[40:80], texts, texts[:40]):  # more than is remembered
+        rows = pieces._rows("alone", pa.array(range(len(part))), part, True).to_pylist()
+        assert [x["ids"] for x in rows] == [p.library.encode(t) for t in part]
+        assert all(x["agrees"] and x["round_trip"] for x in rows)
+    assert all(len(t) > pieces.LONGEST for t in alone)
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, "same", "x", "y"), (1, None, "x", "y"), (2, "", "x", "y"), (3, "same", "x", "y"), (3, "same", "x", "y"), (4, "▁", "x", "y"), (5, "word " * 60_000, "x", "y")], SCHEMA)
     rows = pieces.encode(df).collect()
