@@ -4,6 +4,7 @@ An index is a table with an array<float> column `vector`, columns `ord` and `idx
 a vector without length), to 9 decimals; of equal scores the earlier (ord, idx) comes first.
 """
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -15,7 +16,12 @@ from ..functions.vector import cosine
 
 #: Queries of a batch that are sent to every task; more are joined with the index in blocks.
 MOST_BROADCAST = 4096
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 65_536
+BLOCK_VALUES = 1 << 22
+LEAST_BLOCK = 4096
+#: Queries and rows that are scored at once, and how far apart two ways of computing a score may be, with its rounding to 9 decimals.
+TILE = (256, 4096)
+SLACK = 2e-9
 CROSS_ENCODER = "/".join(("cross-encoder", "ms-marco-MiniLM-L-6-v2"))
 
 _COMPARE = {"$eq": lambda c, v: c == v, "$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v}
@@ -85,35 +91,58 @@ def top_k(index: DataFrame, vector: Sequence[float], limit: int = 10, filter: Ma
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "ord", "idx")))
 
 
-def _scored(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    a, b = np.linalg.norm(queries, axis=1), np.linalg.norm(rows, axis=1)
-    sizes = a[:, None] * b[None]
-    return np.round(np.divide(queries @ rows.T, sizes, out=np.zeros((len(queries), len(rows))), where=sizes > 0), 9)
+def _lengths(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and the vectors over them; a vector without length, or of an endless one, becomes zeros."""
+    size = np.linalg.norm(vectors, axis=1)
+    unit = np.divide(vectors, size[:, None], out=np.zeros_like(vectors), where=((size > 0) & np.isfinite(size))[:, None])
+    return size, unit
 
 
-def _best(ids: list, queries: np.ndarray, b, limit: int):
-    """For each query the best `limit` rows of a batch: query_id, key, ord, idx, score."""
-    vectors = b.column("vector")
-    rows = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(b), -1) if len(b) else np.zeros((0, queries.shape[1]))
-    order, idx = b.column("ord").to_numpy(), b.column("idx").to_numpy()
+def _vectors(column, width: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width) if len(column) else np.zeros((0, width))
+
+
+def _best(ids: pa.Array, queries: np.ndarray, b, limit: int):
+    """For each query the best `limit` rows of a batch: query_id, key, ord, idx, score. Scores are made in tiles of TILE; a tile's rows count if they reach
+    the score that the query's limit-th row had in the tiles before, so few of them are held."""
+    rows = _vectors(b.column("vector"), queries.shape[1])
+    order, idx = (b.column(c).fill_null(np.iinfo(kind).min).to_numpy() for c, kind in (("ord", np.int64), ("idx", np.int32)))
     at_q, at_r, scores = [], [], []
-    for i in range(0, len(queries), 256):
-        s = _scored(queries[i : i + 256], rows)
-        if s.shape[1] > limit:
-            kth = -np.partition(-s, limit - 1, axis=1)[:, limit - 1 : limit]
-            q, r = np.nonzero(s >= kth)  # ties with the last one too
-        else:
-            q, r = np.nonzero(np.ones_like(s, bool))
+    for i in range(0, len(queries), TILE[0]):
+        asked, asked_unit = _lengths(queries[i : i + TILE[0]])
+        asked_rows = queries[i : i + TILE[0]]
+        least = np.full(len(asked), -np.inf)
+        q, r, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for j in range(0, len(rows), TILE[1]):
+            part = rows[j : j + TILE[1]]
+            sizes, part_unit = _lengths(part)
+            near = asked_unit @ part_unit.T
+            if not j and len(part) > limit:  # rounding keeps the order, so no row below the limit-th can be rounded above it
+                least = np.partition(near, len(part) - limit, axis=1)[:, len(part) - limit]
+            more_q, more_r = np.nonzero(near >= (least - SLACK)[:, None])
+            found, both = np.empty(len(more_q)), asked[more_q] * sizes[more_r]
+            for k in range(0, len(found), TILE[1]):
+                n = slice(k, k + TILE[1])
+                found[n] = np.einsum("ij,ij->i", asked_rows[more_q[n]], part[more_r[n]])
+            found = np.round(np.divide(found, both, out=np.zeros(len(found)), where=both > 0), 9)
+            q, r, s = np.concatenate([q, more_q]), np.concatenate([r, more_r + j]), np.concatenate([s, found])
+            by = np.lexsort((idx[r], order[r], -s, q))
+            place = np.arange(len(by)) - np.searchsorted(q[by], q[by])
+            by = by[place < limit]
+            q, r, s = q[by], r[by], s[by]
+            last = np.flatnonzero(place[place < limit] == limit - 1)
+            least[q[last]] = np.maximum(least[q[last]], s[last])
         at_q.append(q + i)
         at_r.append(r)
-        scores.append(s[q, r])
-    q, r = np.concatenate(at_q), np.concatenate(at_r)
-    return pa.record_batch([pa.array(ids).take(pa.array(q)), b.column("key").take(pa.array(r)), pa.array(order[r]), pa.array(idx[r]), pa.array(np.concatenate(scores))], names=["query_id", "key", "ord", "idx", "score"])
+        scores.append(s)
+    q, r, s = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((at_q, np.int64), (at_r, np.int64), (scores, np.float64)))
+    return pa.record_batch([ids.take(pa.array(q)), *(b.column(c).take(pa.array(r)) for c in ("key", "ord", "idx")), pa.array(s)], names=["query_id", "key", "ord", "idx", "score"])
 
 
 def batch_top_k(index: DataFrame, queries: DataFrame, limit: int = 10, key: str = "segment_id", filter: Mapping | None = None) -> DataFrame:
     """query_id, key, ord, idx, score, rank for every row of queries (query_id, vector). Few queries (up to MOST_BROADCAST, counted) are sent to all tasks of the
-    scan; more are joined with the index block by block, so neither side has to fit anywhere as a whole."""
+    scan; more are joined with the index block by block, so neither side has to fit anywhere as a whole. Blocks are as many as keep all cores busy, and of at most
+    BLOCK_ROWS rows and BLOCK_VALUES numbers, so a task's memory has a bound."""
     rows = filtered(index, filter).where("vector is not null").select(F.col(key).cast("string").alias("key"), F.col("ord").cast("long").alias("ord"), F.col("idx").cast("int").alias("idx"), "vector")
     queries = queries.where("vector is not null").select(F.col("query_id").cast("string").alias("query_id"), "vector")
     result = "query_id string, key string, ord long, idx int, score double"
@@ -126,22 +155,26 @@ def batch_top_k(index: DataFrame, queries: DataFrame, limit: int = 10, key: str
         def scan(batches):
             for b in batches:
                 if len(b):
-                    yield _best(ids, matrix, b, limit)
+                    yield _best(pa.array(ids, pa.string()), matrix, b, limit)
 
         found = rows.mapInArrow(scan, result)
     else:
         n_rows, n_queries = rows.count(), queries.count()
-        across, down = -(-n_rows // BLOCK_ROWS), -(-n_queries // BLOCK_ROWS)
-        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(1, n))).cast("int")
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
+        most = max(1, min(BLOCK_ROWS, BLOCK_VALUES // max(1, len(few[0].vector))))
+        busy = math.ceil((4 * rows.sparkSession.sparkContext.defaultParallelism) ** 0.5)
+        blocks = lambda n: max(-(-n // most), min(busy, -(-n // LEAST_BLOCK)), 1)
+        across, down = blocks(n_rows), blocks(n_queries)
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         left = rows.withColumns({"r": block("key", across)}).withColumn("q", each(down))
         right = queries.withColumns({"q": block("query_id", down)}).withColumn("r", each(across))
 
         def join(own, asked):
             if not len(own) or not len(asked):
                 return pa.table({n: pa.array([], t) for n, t in zip(("query_id", "key", "ord", "idx", "score"), (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.float64()))})
-            matrix = np.asarray(asked.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(asked), -1)
-            return pa.Table.from_batches([_best(asked.column("query_id").to_pylist(), matrix, own.combine_chunks().to_batches()[0], limit)])
+            vectors = asked.column("vector").combine_chunks()
+            matrix = _vectors(vectors, len(vectors[0]))
+            return pa.Table.from_batches([_best(asked.column("query_id").combine_chunks(), matrix, own.combine_chunks().to_batches()[0], limit)])
 
         found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(join, result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord", "idx")

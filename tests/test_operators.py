@@ -1,9 +1,11 @@
 import hashlib
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,3 +354,23 @@ def test_blobs(spark):
         explore.project(thin.limit(1))
     with pytest.raises(ValueError):
         explore.cluster(thin, "dbscan")
+
+
+def test_scores_in_tiles_equal_all_at_once_and_take_little_memory():
+    r = np.random.default_rng(1)
+    vectors = r.integers(-2, 3, (20_000, 6)).astype(np.float32)  # many ties, and vectors without length
+    table = pa.record_batch({"key": pa.array(map(str, range(20_000))), "ord": pa.array(r.permutation(20_000)), "idx": pa.array(np.zeros(20_000, np.int32)), "vector": pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), 6).cast(pa.list_(pa.float32()))})
+    asked = vectors[:300].astype(np.float64)
+    tracemalloc.start()
+    got = search._best(pa.array(map(str, range(300))), asked, table, 7).to_pandas()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6  # all scores of 256 queries at once take three times 41 MB
+    wide = vectors.astype(np.float64)
+    sizes = np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(wide, axis=1)[None]
+    scores = np.round(np.divide(asked @ wide.T, sizes, out=np.zeros_like(sizes), where=sizes > 0), 9)
+    order = table.column("ord").to_numpy()
+    for q in range(300):
+        own = got[got.query_id == str(q)].sort_values(["score", "ord"], ascending=[False, True])
+        best = np.lexsort((order, -scores[q]))[:7]
+        assert own.key.tolist() == [str(k) for k in best] and own.score.tolist() == scores[q][best].tolist()
