@@ -411,9 +411,9 @@ def prune_dead_leaves(spark, sf_dir):
 # evaluation
 
 
-def label_qrels(spark, sf_dir) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "label")
-    return e.select(F.col("id").alias("query_id"), "label").join(e.select(F.col("id").alias("doc_id"), "label"), "label").where("query_id <> doc_id").select("query_id", "doc_id", F.lit(1.0).alias("relevance"))
+def label_qrels(spark, sf_dir) -> evaluation.Classes:
+    """Vectors of one label are relevant to each other."""
+    return evaluation.Classes(read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "label"))
 
 
 def label_runs(spark, sf_dir) -> DataFrame:

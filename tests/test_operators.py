@@ -374,3 +374,18 @@ def test_scores_in_tiles_equal_all_at_once_and_take_little_memory():
         own = got[got.query_id == str(q)].sort_values(["score", "ord"], ascending=[False, True])
         best = np.lexsort((order, -scores[q]))[:7]
         assert own.key.tolist() == [str(k) for k in best] and own.score.tolist() == scores[q][best].tolist()
+
+
+def test_classes_give_what_their_pairs_give(spark):
+    r = np.random.default_rng(2)
+    labels = [int(x) if x < 4 else None for x in r.integers(0, 5, 60)] + [9]  # 9 is alone
+    rows = spark.createDataFrame([(str(k), x) for k, x in enumerate(labels)], "doc_id string, label int")
+    pairs = spark.createDataFrame([(str(i), str(j), 1.0) for i, a in enumerate(labels) for j, b in enumerate(labels) if a is not None and a == b and i != j], "query_id string, doc_id string, relevance double")
+    runs = spark.createDataFrame([(str(q), str(d), k + 1) for q in range(61) for k, d in enumerate(r.permutation(61)[:12].tolist())], "query_id string, doc_id string, rank int")
+    values = lambda t: {tuple(x[:3]): round(x[3], 9) for x in t.select("query_id", "metric", "k", "value").collect()}
+    classes = evaluation.Classes(rows)
+    want = values(evaluation.query_metrics(runs, pairs, (1, 5, 10)))
+    assert want and values(evaluation.query_metrics(runs, classes, (1, 5, 10))) == want
+    asked = rows.where("doc_id < '3'").selectExpr("doc_id AS query_id")
+    for a, b in zip(evaluation.evaluate_retrieval(runs, classes, asked, (3,)), evaluation.evaluate_retrieval(runs, pairs, asked, (3,))):
+        assert sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in a.collect()) == sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in b.collect())
