@@ -131,9 +131,16 @@ def segment_function(spark, sf_dir):
 g AS (SELECT doc_id, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))])) AS gram FROM w)
 SELECT doc_id, gram, count(*) AS times, round(1 + ln(count(*)), 9) AS weight FROM g GROUP BY doc_id, gram""")
 def term_weights(spark, sf_dir):
-    """Texts are shuffled by document, so the far more numerous grams need no shuffle of their own."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
-    grams = docs.select("doc_id", F.explode(T.ngrams(T.words(F.col("text")))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("times"))
+    """Grams are counted in their document's row. Only documents that share an id, if there are any, are brought together."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    count = lambda rows: T.counted(rows.select("doc_id", T.ngrams(T.words(F.col("text"))).alias("grams")), "doc_id", "grams").withColumnRenamed("item", "gram")
+    shared = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("shared"))
+    if shared.isEmpty():
+        grams = count(docs)
+    else:
+        same = F.col("doc_id").eqNullSafe(F.col("shared"))
+        few = shared.hint("shuffle_hash")
+        grams = count(docs.join(few, same, "left_anti")).unionByName(count(docs.join(few, same, "left_semi")).groupBy("doc_id", "gram").agg(F.sum("times").alias("times")))
     return grams.withColumn("weight", F.round(1 + F.log("times"), 9))
 
 

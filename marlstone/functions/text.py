@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZER = "char-approx"
@@ -52,3 +52,16 @@ def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
         if n >= low:
             grams.append(runs)
     return F.concat(*grams)
+
+
+def counted(rows: DataFrame, key: str, items: str) -> DataFrame:
+    """key, item, times: how often each row's array of strings holds each of its items. An array is sorted in its row and its runs are counted, so nothing is
+    shuffled or held beyond a row."""
+    rows = rows.select(key, F.sort_array(items).alias("__all"))
+    every = F.sequence(F.lit(0), F.greatest(F.size("__all") - 1, F.lit(0)))
+    first = lambda i: (i < F.size("__all")) & ((i == 0) | (F.get("__all", i) != F.get("__all", i - 1)))
+    rows = rows.select(key, "__all", F.filter(every, first).alias("__at"))
+    after = F.concat(F.slice("__at", F.lit(2), F.greatest(F.size("__at") - 1, F.lit(0))), F.array(F.size("__all")))
+    runs = F.zip_with("__at", after, lambda a, b: F.struct(F.get("__all", a).alias("item"), (b - a).cast("long").alias("times")))
+    # a filter before the explode would be moved below the projections with all that they compute, and explode brings one of its own
+    return rows.select(key, F.explode_outer(runs).alias("__run")).where("__run.item is not null").select(key, "__run.item", "__run.times")

@@ -389,3 +389,21 @@ def test_classes_give_what_their_pairs_give(spark):
     asked = rows.where("doc_id < '3'").selectExpr("doc_id AS query_id")
     for a, b in zip(evaluation.evaluate_retrieval(runs, classes, asked, (3,)), evaluation.evaluate_retrieval(runs, pairs, asked, (3,))):
         assert sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in a.collect()) == sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in b.collect())
+
+
+def test_term_weights_shuffle_no_text_and_keep_documents_of_one_id_together(spark, tmp_path):
+    from marlstone import catalogue
+
+    rows = [(1, "b a b a a"), (2, ""), (3, None), (4, "x"), (5, "Ünï ünï ü")]
+
+    def got(rows, name):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        return catalogue.term_weights(spark, f"{tmp_path}/{name}")
+
+    once = got(rows, "once")
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    found = {(r.doc_id, r.gram): (r.times, r.weight) for r in once.collect()}
+    assert found == {k: (n, round(1 + math.log(n), 9)) for k, n in {(1, "a"): 3, (1, "b"): 2, (1, "b a"): 2, (1, "a b"): 1, (1, "a a"): 1, (4, "x"): 1, (5, "ünï"): 2, (5, "ü"): 1, (5, "ünï ünï"): 1, (5, "ünï ü"): 1}.items()}
+    twice = {(r.doc_id, r.gram): r.times for r in got([*rows, (1, "a c"), (None, "y"), (None, "y y")], "twice").collect()}
+    assert twice == {**{k: n for k, (n, _) in found.items()}, (1, "a"): 4, (1, "c"): 1, (1, "a c"): 1, (None, "y"): 3, (None, "y y"): 1}
