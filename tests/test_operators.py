@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 import tracemalloc
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone import shared
 from marlstone.functions import identity
 from marlstone.operators import embed, evaluation, explore, graph, search, segment
 from marlstone.plans.config import Pipeline, Step, full_arguments, step_parameters
@@ -407,3 +409,33 @@ def test_term_weights_shuffle_no_text_and_keep_documents_of_one_id_together(spar
     assert found == {k: (n, round(1 + math.log(n), 9)) for k, n in {(1, "a"): 3, (1, "b"): 2, (1, "b a"): 2, (1, "a b"): 1, (1, "a a"): 1, (4, "x"): 1, (5, "ünï"): 2, (5, "ü"): 1, (5, "ünï ünï"): 1, (5, "ünï ü"): 1}.items()}
     twice = {(r.doc_id, r.gram): r.times for r in got([*rows, (1, "a c"), (None, "y"), (None, "y y")], "twice").collect()}
     assert twice == {**{k: n for k, (n, _) in found.items()}, (1, "a"): 4, (1, "c"): 1, (1, "a c"): 1, (None, "y"): 3, (None, "y y"): 1}
+
+
+def test_texts_are_python_objects_a_few_at_a_time():
+    texts = ["x" * 3000] * 5000 + ["y" * (3 << 20), None, ""]
+    parts = list(shared.in_parts([pa.record_batch({"text": pa.array(texts)})]))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts and max(len(p) for p in parts) <= shared.PART_ROWS
+    assert all(len(p) == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= shared.PART_BYTES for p in parts)
+
+
+def test_hashing_embedder_holds_the_grams_of_one_text(monkeypatch):
+    r = np.random.default_rng(3)
+    texts = [" ".join(map(str, r.integers(0, 10**9, 600))) for _ in range(200)]
+    tracemalloc.start()
+    embed.HashingEmbedder(16)(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 25e6  # all texts' grams at once take more than 40 MB
+
+
+def test_no_inert_character_is_changed_by_nfc():
+    spans = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", identity.INERT)]
+    inert = {c for a, b in spans for c in range(a, b + 1)}
+    joins = {int(d.split()[-1], 16) for c in range(0x110000) if (d := unicodedata.decomposition(chr(c))) and "<" not in d and " " in d} | set(range(0x1161, 0x11C3))
+    assert not inert & joins and not any(unicodedata.combining(chr(c)) or not unicodedata.is_normalized("NFC", chr(c)) for c in inert)
+
+
+def test_segments_need_one_python_step(spark):
+    sources = as_corpus(spark, {"a": {"text": "Cafe\u0301. Ein Satz", "k": 1}, "b": "x"})
+    plan = segment.Recursive(4, 0).segments(sources.localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
