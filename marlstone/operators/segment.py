@@ -2,7 +2,7 @@
 
 Every segmenter turns columns (source_id, source_hash, ord, text, doc_id, metadata) into (…, parent_id, idx, start, end, text, tokens, metadata,
 segment_id), where the source's text from start to end is the segment's text. Cutting is sequential, so it runs in Python over Arrow
-batches without a shuffle; token counts, metadata and ids are expressions.
+batches without a shuffle, few texts at a time; token counts, metadata and ids are made there too (of a Function's segments by expressions).
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.identity import canonical_json, merged_metadata, segment_id
+from ..functions.identity import canonical_json, digest, merged_metadata, normal_form, segment_id
+from ..shared import in_parts
 
 SEPARATORS = ("\n\n", "\n", ". ", ", ", " ", "")
 KEPT = ("source_id", "source_hash", "ord")
@@ -112,9 +113,13 @@ class Segmenter:
     def segments(self, sources: DataFrame) -> DataFrame:
         """Segments of a corpus; a null or empty text has none."""
 
+        label = canonical_json({"tokenizer": self.tokenizer})
+        joined = lambda m: label if m in (None, "{}") else canonical_json({**json.loads(m), **json.loads(label)})
+
         def run(batches):
-            for b in batches:
-                at, idx, starts, ends, texts, tokens = [], [], [], [], [], []
+            for b in in_parts(batches):
+                at, idx, starts, ends, texts, tokens, ids = [], [], [], [], [], [], []
+                metadata = [joined(m) for m in b.column("metadata").to_pylist()]
                 for k, t in enumerate(b.column("text").to_pylist()):
                     for i, (u, v) in enumerate(self.cut(t) if t else ()):
                         at.append(k)
@@ -122,16 +127,17 @@ class Segmenter:
                         starts.append(u)
                         ends.append(v)
                         texts.append(t[u:v])
-                        tokens.append(self.count(t[u:v]) if self.count else None)
+                        tokens.append((self.count or T.count_tokens)(t[u:v]))
+                        ids.append(digest(normal_form(t[u:v]) + metadata[k]))
                 rows = pa.array(at, pa.int64())
-                own = [b.column(c).take(rows) for c in (*KEPT, "doc_id", "metadata")]
+                own = [b.column(c).take(rows) for c in (*KEPT, "doc_id")]
                 yield pa.record_batch(
-                    [*own, *(pa.array(x, pa.int32()) for x in (idx, starts, ends, tokens)), pa.array(texts, pa.string())],
-                    names=[*KEPT, "parent_id", "metadata", "idx", "start", "end", "tokens", "text"],
+                    [*own, *(pa.array(x, pa.int32()) for x in (idx, starts, ends)), pa.array(texts, pa.string()), pa.array(tokens, pa.int32()), pa.array(metadata, pa.string()).take(rows), pa.array(ids, pa.string())],
+                    names=COLUMNS,
                 )
 
-        kind = "source_id string, source_hash string, ord long, parent_id string, metadata string, idx int, start int, end int, tokens int, text string"
-        return self._finished(sources.select(*KEPT, "doc_id", "metadata", "text").mapInArrow(run, kind))
+        kind = "source_id string, source_hash string, ord long, parent_id string, idx int, start int, end int, text string, tokens int, metadata string, segment_id string"
+        return sources.select(*KEPT, "doc_id", "metadata", "text").mapInArrow(run, kind)
 
 
 class Lines(Segmenter):
@@ -188,7 +194,7 @@ class Function(Segmenter):
 
     def segments(self, sources: DataFrame) -> DataFrame:
         def run(batches):
-            for b in batches:
+            for b in in_parts(batches):
                 rows = []
                 for r in b.to_pylist():
                     if r["text"] is None:
